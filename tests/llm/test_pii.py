@@ -1,0 +1,73 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cdrlens.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def slow_luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and slow_luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("a.@-1 234567890+()%é\n", max_size=60))
+def test_base_spans_like_the_patterns(text):
+    assert [s[:3] for s in pii.find(text) if s[0] in pii.KINDS[:4]] == brute(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("0123456789. 1", max_size=60))
+def test_digits(text):
+    assert [s[:3] for s in pii.find(text) if s[0] in pii.KINDS[:4]] == brute(text)
+
+
+def test_checksums_and_context():
+    assert [s[:3] for s in pii.find("pay 4539 5787 6362 1486 now")] == [("card", 4, 23)]
+    assert pii.find("pay 4539 5787 6362 1487 now") == []
+    assert [s[0] for s in pii.find("IBAN DE89 3704 0044 0532 0130 00.")] == ["iban"]
+    assert not [s for s in pii.find("IBAN DE89 3704 0044 0532 0130 01.") if s[0] == "iban"]
+    amex = "378282246310005"
+    assert pii.find(f"x {amex} y") == []
+    assert [s[0] for s in pii.find(f"credit card {amex}")] == ["pan"]
+    assert pii.find("server 10.0.0.1")[0][3] > pii.find("x 10.0.0.1")[0][3]
+
+
+def test_long_runs_are_linear():
+    assert pii.find("a" * 300_000 + "@" + "1" * 300_000 + ".") == []
+
+
+def test_tables(spark):
+    rows = [(1, "mail a@b.co 1.2.3.4", "x"), (1, "mail a@b.co 1.2.3.4", "x"), (None, None, "y"), (2, "", None), (3, "é+1 (743) 555-3824", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {(r.doc_id, r.text): [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_spans(df).collect()}
+    assert got == {(1, rows[0][1]): [("email", 5, 11), ("ip", 12, 19)], (None, None): [], (2, ""): [], (3, rows[4][1]): [("phone", 1, 18)]}
+    clear = [(r.doc_id, r.text, r.spans) for r in pii.redacted(df).collect()]
+    assert sorted(clear, key=str) == sorted([(1, "mail [EMAIL] [IP]", "x")] * 2 + [(None, None, "y"), (2, "", None), (3, "é[PHONE]", "z")], key=str)
+    assert pii.find_spans(df.limit(0)).count() == 0
