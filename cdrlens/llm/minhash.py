@@ -32,14 +32,14 @@ SPACE = 1 << SPACE_BITS
 BAND_ROWS = 6
 MISS = 1e-5
 #: Coordinates of a signature; the bands take the first, estimates take all.
-COORDINATES = 256
+COORDINATES = 512
 #: A candidate whose estimated similarity is so many standard deviations under the threshold is no link
 #: (a chance of 4e-6 for a pair just at the threshold).
 ESTIMATE_DEVIATIONS = 4.5
 #: Members of a bucket that are compared with one another at once.
 CHUNK = 2048
-#: Shingles whose windows are gathered at once.
-GATHER = 16_384
+#: Shingles whose windows are gathered at once: what a processor's cache holds.
+GATHER = 512
 SEED = 20_011
 
 
@@ -63,7 +63,8 @@ def shingle_sets(texts: list, hashes: HashTable, size: int = SHINGLE_WORDS) -> l
     out, at = [], 0
     for n in counts:
         if n >= size:
-            out.append(np.unique(shingles[at : at + n - size + 1]))
+            own = np.sort(shingles[at : at + n - size + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif n:
             out.append(np.array([sequence_hash(flat[at : at + n])], np.uint64))
         else:

@@ -21,7 +21,7 @@ BIAS = 2.0
 WEIGHTS = {
     "symbols_a_word": -5.0,
     "bangs_a_word": -3.0,
-    "pipes_a_word": -4.0,
+    "pipes_a_word": -8.0,
     "upper_share": -2.0,
     "digit_share": -4.0,
     "duplicate": -2.5,
