@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, pii, quality_classifier, quality_rules
+from . import decontamination, htmltext, licenses, minhash, pii, quality_classifier, quality_rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -104,7 +104,35 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matched(_table(spark, sf_dir, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_CANONICAL = (
+    "list_transform(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), "
+    + _quoted(f"(?im){licenses.COPYRIGHT_LINE}") + r", ' ', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: CASE w "
+    + " ".join(f"WHEN {_quoted(a)} THEN {_quoted(b)}" for a, b in licenses.SPELLINGS) + " ELSE w END)"
+)
+
+_OP2_SQL = f"""
+WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}),
+k AS (SELECT min(license_id) AS license_id, sha256(array_to_string({_CANONICAL}, ' ')) AS digest FROM known GROUP BY 2),
+d AS (SELECT doc_id, {_CANONICAL} AS w FROM documents)
+SELECT doc_id, len(w) AS n_words, sha256(array_to_string(w, ' ')) AS digest, k.license_id
+FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(w, ' '))
+"""
+
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op9_html_extraction": op9_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op3_pii": op3_pii,
@@ -113,6 +141,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_license_scan": _OP2_SQL,
     "op7_benchmark_decontamination": _OP7_SQL,
     "op8_minhash_near_dedup": _OP8_SQL,
 }
