@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, htmltext, licenses, minhash, pii, quality_classifier, quality_rules
+from . import decontamination, htmltext, licenses, minhash, pii, quality_classifier, quality_rules, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -130,7 +130,25 @@ SELECT doc_id, len(w) AS n_words, sha256(array_to_string(w, ' ')) AS digest, k.l
 FROM d LEFT JOIN k ON k.digest = sha256(array_to_string(w, ' '))
 """
 
+def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP1_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+FROM f
+"""
+
 QUERIES = {
+    "op1_warc_reassembly": op1_warc_reassembly,
     "op2_license_scan": op2_license_scan,
     "op9_html_extraction": op9_html_extraction,
     "op4_quality_rules": op4_quality_rules,
@@ -141,6 +159,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc_reassembly": _OP1_SQL,
     "op2_license_scan": _OP2_SQL,
     "op7_benchmark_decontamination": _OP7_SQL,
     "op8_minhash_near_dedup": _OP8_SQL,
