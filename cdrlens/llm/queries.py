@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, htmltext, licenses, minhash, pii, quality_classifier, quality_rules, warc
+from . import decontamination, htmltext, licenses, minhash, pii, quality_classifier, quality_rules, token_index, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -147,7 +153,12 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op6_token_index": op6_token_index,
     "op1_warc_reassembly": op1_warc_reassembly,
     "op2_license_scan": op2_license_scan,
     "op9_html_extraction": op9_html_extraction,

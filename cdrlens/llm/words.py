@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words remembered at once in a worker; beyond it the table starts anew (results are the same).
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _C1 = np.uint64(0xBF58476D1CE4E5B9)
