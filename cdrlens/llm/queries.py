@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, htmltext, licenses, minhash, pii, quality_classifier, quality_rules, token_index, warc
+from . import decontamination, htmltext, licenses, minhash, pii, piece_fst, quality_classifier, quality_rules, token_index, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -154,10 +154,15 @@ FROM f
 """
 
 def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_index.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return token_index.round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES = {
+    "op10_sentencepiece": op10_sentencepiece,
     "op6_token_index": op6_token_index,
     "op1_warc_reassembly": op1_warc_reassembly,
     "op2_license_scan": op2_license_scan,

@@ -9,6 +9,8 @@ import xxhash
 
 #: Distinct words remembered at once in a worker; beyond it the table starts anew (results are the same).
 TABLE_WORDS = 250_000
+#: The same for the remembered words' bytes together.
+TABLE_BYTES = 16 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _C1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -28,10 +30,11 @@ class HashTable:
     def __init__(self, capacity: int = TABLE_WORDS):
         self.capacity = capacity
         self.known: dict[bytes, int] = {}
+        self.size = 0
 
     def __call__(self, words: Sequence[bytes]) -> np.ndarray:
-        if len(self.known) > self.capacity:
-            self.known = {}
+        if len(self.known) > self.capacity or self.size > TABLE_BYTES:
+            self.known, self.size = {}, 0
         known = self.known
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -39,6 +42,7 @@ class HashTable:
             digest = xxhash.xxh64_intdigest
             for w in set(words).difference(known):
                 known[w] = digest(w)
+                self.size += len(w)
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -51,11 +55,13 @@ class RaggedTable:
 
     def _clear(self) -> None:
         self.index: dict = {}
+        self.size = 0
         self.flat = np.zeros(0, self.dtype)
         self.starts = np.zeros(1, np.int64)
 
     def _learn(self, words: list) -> None:
         rows = self.compute(words)
+        self.size += sum(map(len, words))
         base = len(self.index)
         self.index.update(zip(words, range(base, base + len(words)), strict=True))
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -65,7 +71,7 @@ class RaggedTable:
 
     def __call__(self, words: Sequence) -> tuple[np.ndarray, np.ndarray]:
         """All words' numbers in one array, and how many each word has."""
-        if len(self.index) > self.capacity:
+        if len(self.index) > self.capacity or self.size > TABLE_BYTES:
             self._clear()
         new = set(words).difference(self.index)
         if new:
