@@ -248,12 +248,13 @@ def deduplicated(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFram
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", html.alias("payload"), F.sha2(html, 256).alias("digest"))
-    slim = keyed.select("page_id", "digest", F.octet_length("payload").alias("n"))
-    kinds = slim.groupBy("page_id", "digest", "n").agg(F.count("*").alias("copies"))
+    # one name for page and payload: the join and the grouping below then share one exchange of the payloads
+    keyed = keyed.withColumn("key", F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
+    slim = keyed.select("key", "page_id", "digest", F.octet_length("payload").alias("n"))
+    kinds = slim.groupBy("key", "page_id", "digest", "n").agg(F.count("*").alias("copies"))
     first = kinds.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("copies").alias("all")).filter("all > 1")
-    kinds = kinds.join(first, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "copies", "first", "all")
-    rows = keyed.join(kinds, keyed.page_id.eqNullSafe(kinds.p) & (keyed.digest == kinds.d))
-    rows = rows.groupBy("page_id", "digest").agg(*[F.first(c).alias(c) for c in ("url", "payload", "copies", "first", "all")])
+    kinds = kinds.join(first, "digest", "left").select("key", "copies", "first", "all")
+    rows = keyed.join(kinds, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("page_id", "digest", "url", "payload", "copies", "first", "all")])
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     response = F.col("all").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1))
     return rows.select(
