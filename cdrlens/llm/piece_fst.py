@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .runtime import with_text_columns
-from .words import RaggedTable
+from .words import RaggedTable, ragged
 
 BLANK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
@@ -176,7 +176,7 @@ class Codec:
     def __init__(self, model_file: str):
         self.model = Model(model_file)
         self.transducer = Transducer(self.model)
-        self.table = RaggedTable(lambda units: [self.transducer.solve(u) for u in units], np.int32)
+        self.table = RaggedTable(lambda units: ragged([self.transducer.solve(u) for u in units]), np.int32)
         self.output = [b"" if k in (_CONTROL, _UNKNOWN) else p.replace(BLANK, " ").encode() for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
         for value, i in self.model.bytes.items():
             self.output[i] = bytes([value])

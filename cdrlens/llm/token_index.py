@@ -13,7 +13,9 @@ aren't in the shard are told by a stored 32-bit fingerprint. Looking a key up ta
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Sequence
@@ -23,16 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import SLICE_BYTES, Scratch, _slices, ship
-from .words import RaggedTable, mix64
+from .words import RaggedTable, mix64, ragged
 
 END_ID = 2
 #: Text bytes of a shard, about; a shard is read as a whole.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
 LOAD, LEVELS = 2.0, 64
 _TRAILER = struct.Struct("<8sQQI")
 _MAGIC = b"TOKSHRD1"
 #: Stands for the end of a document among words; no word holds a blank.
 _END_WORD = b" end"
+_STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,]++(?![^ \t\n\x0b\x0c\r])")
 
 
 def key_hashes(ids: np.ndarray, null: np.ndarray, copies: np.ndarray) -> np.ndarray:
@@ -150,28 +153,44 @@ class Shard:
 
 
 class WordEncoder:
-    """Ids of whole texts, each followed by ``END_ID``, by a tokenizer that never joins across white space.
+    """Ids of whole texts, each followed by ``END_ID``, by a tokenizer that never joins across white space
+    and puts text in lower case.
 
     Such a tokenizer's ids of a text are those of its words in turn, so each distinct word (a run without
-    ASCII white space) is encoded once as long as a bounded table remembers it.
+    ASCII white space, A-Z lowered) is encoded once as long as a bounded table remembers it. Full stops
+    and commas that end a word after an ASCII letter or digit are words of their own, as they are to the
+    tokenizer. Words go to the tokenizer many at once, joined by its end-of-text token, whose id parts
+    them again; words that hold a ``<|`` might hold such a token and are encoded alone, as they are.
     """
 
+    SEPARATOR = "<|endoftext|>"
+    JOINED = 100
+
     def __init__(self, tokenizer_file: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self.table = RaggedTable(self._encode, np.dtype(dtype))
+        self.table([_END_WORD])
 
-    def _encode(self, words: list[bytes]) -> list:
-        rows = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        return [[END_ID] if w == _END_WORD else r for w, r in zip(words, rows, strict=True)]
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if any(w == _END_WORD or b"<|" in w for w in words):
+            return ragged([[END_ID] if w == _END_WORD else self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words])
+        joined = b"\0".join(words).decode().split("\0") if not any(b"\0" in w for w in words) else [w.decode() for w in words]
+        texts = [self.SEPARATOR.join(joined[i : i + self.JOINED]) + self.SEPARATOR for i in range(0, len(joined), self.JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        cuts = np.nonzero(ids == self.separator)[0]
+        return ids[ids != self.separator], np.diff(cuts, prepend=-1) - 1
 
     def __call__(self, texts: Sequence) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and how many each text has."""
         words, counts = [], []
         for t in texts:
-            own = t.split() if t else []
+            own = []
+            if t:
+                own = _STOP.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split()
             words += own
             words.append(_END_WORD)
             counts.append(len(own) + 1)
@@ -182,6 +201,12 @@ class WordEncoder:
         return ids, total[ends] - total[ends - counts]
 
 
+@functools.cache
+def encoder_of(tokenizer_file: str, dtype: str) -> WordEncoder:
+    """A worker's encoder: what it remembers serves all tasks that the worker runs."""
+    return WordEncoder(tokenizer_file, dtype)
+
+
 def id_bytes(tokenizer_file: str) -> int:
     from tokenizers import Tokenizer
 
@@ -203,7 +228,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, shard_bytes: int = SH
     def work(batches):
         import pyarrow as pa
 
-        encoder = WordEncoder(tokenizer_file, f"<u{width}")
+        encoder = encoder_of(tokenizer_file, f"<u{width}")
         keys, nulls, counts, places, at = [], [], [], [], 0
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())

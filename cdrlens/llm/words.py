@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import xxhash
 
 #: Distinct words remembered at once in a worker; beyond it the table starts anew (results are the same).
-TABLE_WORDS = 250_000
+TABLE_WORDS = 400_000
 #: The same for the remembered words' bytes together.
 TABLE_BYTES = 16 << 20
 
@@ -47,42 +48,69 @@ class HashTable:
 
 
 class RaggedTable:
-    """Number sequences of words (their token ids), gathered for many words at once."""
+    """Number sequences of words (their token ids), gathered for many words at once.
 
-    def __init__(self, compute: Callable[[list], list], dtype, capacity: int = TABLE_WORDS):
-        self.compute, self.dtype, self.capacity = compute, dtype, capacity
-        self._clear()
+    ``compute`` takes distinct words and gives all their numbers in one array and how many each has. When
+    the table is full, the words that came up ``KEEP_FROM`` times or more stay, if they are at most half.
+    """
 
-    def _clear(self) -> None:
-        self.index: dict = {}
-        self.size = 0
-        self.flat = np.zeros(0, self.dtype)
-        self.starts = np.zeros(1, np.int64)
+    KEEP_FROM = 3
+
+    def __init__(self, compute: Callable[[list], tuple], dtype, capacity: int = TABLE_WORDS):
+        self.compute, self.dtype, self.capacity = compute, dtype, capacity
+        self._start({}, np.zeros(0, dtype), np.zeros(0, np.int64))
+
+    def _start(self, index: dict, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.index, self.flat = index, flat
+        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        self.seen = np.zeros(len(index), np.int64)
+        self.size = sum(map(len, index))
+
+    def _shrink(self) -> None:
+        often = np.nonzero(self.seen >= self.KEEP_FROM)[0]
+        if 2 * len(often) > len(self.index):
+            often = often[:0]
+        lengths = np.diff(self.starts)[often]
+        flat = self._gather(often)[0]
+        words = list(self.index)
+        index = dict(zip([words[i] for i in often.tolist()], range(len(often)), strict=True))
+        self._start(index, flat, lengths)
+        if 2 * self.size > TABLE_BYTES:
+            self._start({}, np.zeros(0, self.dtype), np.zeros(0, np.int64))
 
     def _learn(self, words: list) -> None:
-        rows = self.compute(words)
+        flat, lengths = self.compute(words)
         self.size += sum(map(len, words))
         base = len(self.index)
         self.index.update(zip(words, range(base, base + len(words)), strict=True))
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((x for r in rows for x in r), self.dtype, int(lengths.sum()))
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, np.asarray(flat, self.dtype)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
 
-    def __call__(self, words: Sequence) -> tuple[np.ndarray, np.ndarray]:
-        """All words' numbers in one array, and how many each word has."""
-        if len(self.index) > self.capacity or self.size > TABLE_BYTES:
-            self._clear()
-        new = set(words).difference(self.index)
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = self.starts[at]
         lengths = self.starts[at + 1] - begin
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        where = np.arange(total) + np.repeat(begin - (ends - lengths), lengths)
-        return self.flat[where], lengths
+        return self.flat[np.arange(total) + np.repeat(begin - (ends - lengths), lengths)], lengths
+
+    def __call__(self, words: Sequence) -> tuple[np.ndarray, np.ndarray]:
+        """All words' numbers in one array, and how many each word has."""
+        if len(self.index) > self.capacity or self.size > TABLE_BYTES:
+            self._shrink()
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.nonzero(at < 0)[0].tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
+            at[missing] = [self.index[words[i]] for i in missing]
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        return self._gather(at)
+
+
+def ragged(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as one array and their lengths."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum())), lengths
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
