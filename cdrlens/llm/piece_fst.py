@@ -14,6 +14,7 @@ bounded table remembers it.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Sequence
@@ -27,7 +28,7 @@ from .words import RaggedTable, ragged
 BLANK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 #: Weight of a character that goes to bytes, and pairs remembered.
-FALLBACK, PAIRS = 20.0, 1_000_000
+FALLBACK, PAIRS = 20.0, 500_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -95,10 +96,17 @@ class Transducer:
     def __init__(self, model: Model):
         self.model = model
         self.vocabulary = model.vocabulary
-        self.prefixes = {p[:k] for p in self.vocabulary for k in range(1, len(p) + 1)}
+        # arcs by character; under 0 the piece that ends in a state
+        self.trie: dict = {}
+        for piece, k in self.vocabulary.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[0] = k
         low = min(s for s in model.scores if s > -1e8)
         self.weight = {i: min(-model.scores[i] / -low, 2.0) + 1.0 for i in self.vocabulary.values()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.width = len(model.pieces)
 
     def _merged(self, text: str) -> list[str]:
         """The model's merges on a short text: the best-scored pair first, the leftmost of equals."""
@@ -113,50 +121,91 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def adjacent(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            x, y = self.model.pieces[a], self.model.pieces[b]
-            known = self.pairs[a, b] = self._merged(x + y) == [x, y]
+    def _judge(self, a: int, b: int) -> bool:
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        x, y = self.model.pieces[a], self.model.pieces[b]
+        known = self.pairs[a * self.width + b] = self._merged(x + y) == [x, y]
         return known
 
+    def adjacent(self, a: int, b: int) -> bool:
+        known = self.pairs.get(a * self.width + b)
+        return self._judge(a, b) if known is None else known
+
     def solve(self, unit: str) -> list[int]:
-        """Ids of the shortest path through the unit's lattice."""
-        vocabulary, prefixes, weight = self.vocabulary, self.prefixes, self.weight
-        n = len(unit)
-        # states at each place: last piece (or -1 after bytes and at the start) -> weight, place and piece before
-        states: list[dict] = [{} for _ in range(n + 1)]
-        states[0][-1] = (0.0, 0, -1)
+        """Ids of the shortest path through the unit's lattice.
+
+        As long as one state at most is reached at each place there is one path to it, and weights decide
+        nothing; :meth:`shortest` takes over as soon as a second state turns up.
+        """
+        n, root, pairs, width = len(unit), self.trie, self.pairs, self.width
+        last, back = [-2] * (n + 1), [0] * (n + 1)
+        last[0] = -1
         for s in range(n):
-            here = states[s]
-            if not here:
+            p = last[s]
+            if p == -2:
                 continue
-            if unit[s] not in vocabulary:
-                last, (w, _, _) = min(here.items(), key=lambda x: x[1][0])
-                old = states[s + 1].get(-1)
-                if old is None or w + FALLBACK < old[0]:
-                    states[s + 1][-1] = (w + FALLBACK, s, last)
+            node = root.get(unit[s])
+            if node is None or 0 not in node:
+                if last[s + 1] != -2:
+                    return self.shortest(unit)
+                last[s + 1], back[s + 1] = -1, s
                 continue
-            for e in range(s + 1, n + 1):
-                part = unit[s:e]
-                if part not in prefixes:
+            e = s
+            while node is not None:
+                e += 1
+                k = node.get(0)
+                if k is not None:
+                    ok = p < 0 or pairs.get(p * width + k)
+                    if ok is None:
+                        ok = self._judge(p, k)
+                    if ok:
+                        if last[e] != -2:
+                            return self.shortest(unit)
+                        last[e], back[e] = k, s
+                if e == n:
                     break
-                piece = vocabulary.get(part)
-                if piece is None:
-                    continue
-                best = None
-                for last, (w, _, _) in here.items():
-                    if (last < 0 or self.adjacent(last, piece)) and (best is None or w < best[0]):
-                        best = (w, s, last)
-                if best is not None:
-                    old = states[e].get(piece)
-                    if old is None or best[0] + weight[piece] < old[0]:
-                        states[e][piece] = (best[0] + weight[piece], best[1], best[2])
+                node = node.get(unit[e])
+        if last[n] == -2:
+            return self.shortest(unit)
         out: list[int] = []
         place = n
-        piece = min(states[n], key=lambda k: states[n][k][0])
+        while place:
+            before = back[place]
+            if last[place] < 0:
+                out += [self.model.bytes[b] for b in reversed(unit[before:place].encode())]
+            else:
+                out.append(last[place])
+            place = before
+        return out[::-1]
+
+    def shortest(self, unit: str) -> list[int]:
+        """The same by relaxing every arc: states are places with the last piece (-1 after bytes and at the
+        start), each with its least weight and where that came from."""
+        n = len(unit)
+        states: list[dict] = [{} for _ in range(n + 1)]
+        states[0][-1] = (0.0, 0, -1)
+
+        def relax(place: int, state: int, weight: float, before: int, last: int) -> None:
+            old = states[place].get(state)
+            if old is None or weight < old[0]:
+                states[place][state] = (weight, before, last)
+
+        for s in range(n):
+            for last, (w, _, _) in states[s].items():
+                node = self.trie.get(unit[s])
+                if node is None or 0 not in node:
+                    relax(s + 1, -1, w + FALLBACK, s, last)
+                    continue
+                e = s
+                while node is not None:
+                    e += 1
+                    piece = node.get(0)
+                    if piece is not None and (last < 0 or self.adjacent(last, piece)):
+                        relax(e, piece, w + self.weight[piece], s, last)
+                    node = node.get(unit[e]) if e < n else None
+        out: list[int] = []
+        place, piece = n, min(states[n], key=lambda k: states[n][k][0])
         while place:
             _, before, last = states[place][piece]
             if piece < 0:
@@ -199,6 +248,12 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+@functools.cache
+def codec_of(model_file: str) -> Codec:
+    """A worker's codec: what it remembers serves all tasks that the worker runs."""
+    return Codec(model_file)
+
+
 def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     """``docs`` without its text, with ids (array), n_tokens, ids_crc32 and lossless for each row.
 
@@ -209,7 +264,7 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     """
 
     def make():
-        codec = Codec(model_file)
+        codec = codec_of(model_file)
 
         def call(texts):
             import pyarrow as pa
@@ -240,7 +295,7 @@ def decoded(rows: DataFrame, model_file: str) -> DataFrame:
     joined = rows.withColumn("_ids", F.concat_ws(" ", F.when(F.col("ids").isNotNull(), ids)))
 
     def make():
-        codec = Codec(model_file)
+        codec = codec_of(model_file)
         return lambda lists: {"text": [codec.decode([int(i) for i in x.split()]) for x in lists]}
 
     out = with_text_columns(joined, make, "text string", "_ids", drop_text=True)

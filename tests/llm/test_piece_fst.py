@@ -39,6 +39,12 @@ def test_documents_like_the_library(spark):
         assert CODEC.decode(ids.tolist()) == t
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abtheinrsé1▁._", min_size=1, max_size=30))
+def test_both_solvers_agree(unit):
+    assert CODEC.transducer.solve(unit) == CODEC.transducer.shortest(unit)
+
+
 def test_long_unit_and_blanks():
     both(["ab" * 5000, " " * 100, "a" + " " * 37 + "b", "\n\n x\n"])
 
