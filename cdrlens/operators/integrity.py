@@ -146,32 +146,38 @@ def implied_speeds(records: DataFrame, cells: DataFrame) -> DataFrame:
     """
     at = records.join(cells.select("run_id", "cell_id", "x", "y"), ["run_id", "cell_id"])
     chain = Window.partitionBy("run_id", "subscriber").orderBy("time_us", "event_id")
-    here = F.struct("event_id", "time_us", "scenario", "cell_id", "x", "y")
-    rows = at.select("run_id", "subscriber", "time_us", "event_id", here.alias("a"), F.lead(here, 1).over(chain).alias("b"), F.lag(here, 1).over(chain).alias("prev"), F.lead(here, 2).over(chain).alias("next"))
+    own = ["run_id", "subscriber", "event_id", "time_us", "scenario", "cell_id", "x", "y"]
+    after = [F.lead(c, 1).over(chain).alias(f"b_{n}") for c, n in (("event_id", "event"), ("time_us", "time_us"), ("scenario", "scenario"), ("cell_id", "cell"), ("x", "x"), ("y", "y"))]
+    around = [F.lag(c, 1).over(chain).alias(f"prev_{c}") for c in ("x", "y")] + [F.lead(c, 2).over(chain).alias(f"next_{c}") for c in ("x", "y")]
+    rows = at.select(*own, *after, *around).filter("b_event is not null")
 
     def apart(u: str, v: str) -> Column:
-        return F.hypot(F.col(f"{u}.x") - F.col(f"{v}.x"), F.col(f"{u}.y") - F.col(f"{v}.y"))
+        dx, dy = F.col(f"{u}x") - F.col(f"{v}x"), F.col(f"{u}y") - F.col(f"{v}y")
+        return F.sqrt(dx * dx + dy * dy)
 
-    rows = rows.filter(F.col("b").isNotNull())
-    rows = rows.withColumn("d", apart("a", "b")).withColumn("dt", (F.col("b.time_us") - F.col("a.time_us")) / F.lit(1e6))
+    rows = rows.withColumn("d", apart("", "b_")).withColumn("dt", (F.col("b_time_us") - F.col("time_us")) / F.lit(1e6))
     moved = F.when(F.col("d") > ZERO_DISTANCE_M, F.lit(1e308)).otherwise(F.lit(0.0))
     kmh = F.when(F.col("dt") <= 0, moved).otherwise((F.col("d") / 1000.0) / F.nullif(F.col("dt") / 3600.0, F.lit(0.0)))
-    later = F.col("prev").isNotNull() & (apart("b", "prev") > apart("a", "prev"))
-    earlier = F.col("next").isNotNull() & (apart("a", "next") > apart("b", "next"))
-    blame = F.when(later, F.lit("b")).when(earlier, F.lit("a"))
-    return rows.withColumn("kmh", kmh).withColumn("blame", blame)
+    later = F.col("prev_x").isNotNull() & (apart("b_", "prev_") > apart("", "prev_"))
+    earlier = F.col("next_x").isNotNull() & (apart("", "next_") > apart("b_", "next_"))
+    return rows.withColumn("kmh", kmh).withColumn("blame", F.when(later, F.lit("b")).when(earlier, F.lit("a")))
 
 
 def impossible_speeds(records: DataFrame, cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Rule 2: two consecutive records of known cells imply a speed over ``max_kmh``, and the positions
     around them tell which is wrong. An event blamed twice keeps its highest speed, the first of equals."""
     over = implied_speeds(records, cells).filter((F.col("kmh") > rules.max_kmh) & F.col("blame").isNotNull())
-    culprit = F.when(F.col("blame") == "b", F.col("b")).otherwise(F.col("a"))
-    peer = F.when(F.col("blame") == "b", F.col("a.event_id")).otherwise(F.col("b.event_id"))
-    over = over.select("run_id", culprit.alias("c"), peer.alias("peer"), "kmh", "d", "dt", "time_us", F.col("event_id").alias("pair"))
-    best = Window.partitionBy("run_id", "c.event_id").orderBy(F.desc("kmh"), "time_us", "pair")
+    is_b = F.col("blame") == "b"
+
+    def blamed(b: str, a: str) -> Column:
+        return F.when(is_b, F.col(b)).otherwise(F.col(a))
+
+    over = over.select(
+        "run_id", blamed("b_event", "event_id").alias("event_id"), blamed("b_time_us", "time_us").alias("time_us"), blamed("b_scenario", "scenario").alias("scenario"),
+        blamed("b_cell", "cell_id").alias("cell_id"), blamed("event_id", "b_event").alias("peer"), "kmh", "d", "dt", F.col("time_us").alias("pair_time"), F.col("event_id").alias("pair"),
+    )
+    best = Window.partitionBy("run_id", "event_id").orderBy(F.desc("kmh"), "pair_time", "pair")
     bad = over.withColumn("_n", F.row_number().over(best)).filter("_n = 1")
-    bad = bad.select("run_id", F.col("c.event_id").alias("event_id"), F.col("c.time_us").alias("time_us"), F.col("c.scenario").alias("scenario"), F.col("c.cell_id").alias("cell_id"), "peer", "kmh", "d", "dt")
     proof = evidence(
         VELOCITY,
         {"record_cell": F.col("cell_id").cast("string"), "peer_event_id": F.col("peer").cast("string"), "attribution": F.lit("local_support"), "zero_interval": F.col("dt") <= 0},

@@ -135,7 +135,7 @@ def _(a):
 
 @query("implied_speeds", f"WITH {_PLACED}, {_CHAIN} SELECT run_id, event_id, b_event, round(d, 4) AS distance_m, dt AS delta_s, blame FROM speeds", _T)
 def _(a):
-    return integrity.implied_speeds(a.records, _placed(a)).select("run_id", "event_id", F.col("b.event_id").alias("b_event"), F.round("d", 4).alias("distance_m"), F.col("dt").alias("delta_s"), "blame")
+    return integrity.implied_speeds(a.records, _placed(a)).select("run_id", "event_id", "b_event", F.round("d", 4).alias("distance_m"), F.col("dt").alias("delta_s"), "blame")
 
 
 @query("modal_device", "SELECT run_id, subscriber, device, n, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, subscriber ORDER BY n DESC, device) AS k FROM (SELECT run_id, subscriber, device, count(*) AS n FROM records WHERE device <> '' GROUP BY 1, 2, 3)) WHERE k <= 1", _T)
@@ -316,14 +316,14 @@ def _(a):
 _ACT = f"SELECT r.cell_id, count(*) AS records, count(DISTINCT r.subscriber) AS subscribers FROM records r WHERE r.run_id = '{RUN}' GROUP BY r.cell_id"
 
 
-@query("cell_activity", f"SELECT a.cell_id, a.records, a.subscribers, c.lat, c.lon FROM ({_ACT}) a JOIN cells c ON c.run_id = '{RUN}' AND c.cell_id = a.cell_id WHERE a.subscribers >= 3", _T)
+@query("cell_activity", f"SELECT a.cell_id, a.records, a.subscribers, c.lat, c.lon FROM ({_ACT}) a JOIN cells c ON c.run_id = '{RUN}' AND c.cell_id = a.cell_id WHERE a.subscribers >= 2", _T)
 def _(a):
-    return service.activity(a.records, a.cells, RUN, k=3)
+    return service.activity(a.records, a.cells, RUN, k=2)
 
 
-@query("cell_activity_suppressed", f"SELECT count(*) AS suppressed FROM ({_ACT}) a JOIN cells c ON c.run_id = '{RUN}' AND c.cell_id = a.cell_id WHERE a.subscribers < 3", _T)
+@query("cell_activity_suppressed", f"SELECT count(*) AS suppressed FROM ({_ACT}) a JOIN cells c ON c.run_id = '{RUN}' AND c.cell_id = a.cell_id WHERE a.subscribers < 2", _T)
 def _(a):
-    return service.suppressed_cells(a.records, a.cells, RUN, k=3)
+    return service.suppressed_cells(a.records, a.cells, RUN, k=2)
 
 
 @query("cell_features", None)
@@ -411,6 +411,7 @@ def _(a):
 @query("sector_membership", f"WITH {_PAIR}, {_ANT} SELECT event_id, d2 <= 1500 AND abs(off_axis) <= beam_width / 2 AS inside FROM t", _ALL)
 def _(a):
     off = geo.wrap_degrees(geo.bearing_degrees(F.col("dx"), F.col("dy"), COL) - F.col("azimuth"), COL)
+    off = F.when((F.col("dx") == 0) & (F.col("dy") == 0), 0.0).otherwise(off)
     return _links(a).select("event_id", ((F.hypot("dx", "dy") <= 1500) & (F.abs(off) <= F.col("beam_width") / 2)).alias("inside"))
 
 
