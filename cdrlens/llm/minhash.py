@@ -37,7 +37,7 @@ COORDINATES = 512
 #: (a chance of 4e-6 for a pair just at the threshold).
 ESTIMATE_DEVIATIONS = 4.5
 #: Members of a bucket that are compared with one another at once.
-CHUNK = 2048
+CHUNK = 512
 #: Shingles whose windows are gathered at once: what a processor's cache holds.
 GATHER = 512
 SEED = 20_011
