@@ -48,15 +48,26 @@ def write_messages(messages: DataFrame, path: str, partitions: int = 4) -> None:
     rows.select("key", "value", "partition", "offset").sortWithinPartitions("partition", "offset").write.mode("append").json(path)
 
 
+def stored_records(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decoder of record messages for :func:`persist`: the offset is kept as the arrival order, which
+    holds for a subscriber because its messages share a partition."""
+    return wire.decode_records(messages.select("value", F.col("offset").alias("seq")), ["seq"])
+
+
 def persist(messages: DataFrame, decode: Callable, store: Store, table: str, checkpoint: str, run_id: str | None = None) -> StreamingQuery:
     """Decode messages and append them to a table batch by batch; what can't be decoded or breaks the
     table's conditions goes to ``<table>_rejected``. Ends when all that is there was read."""
 
     def write(batch: DataFrame, _: int) -> None:
-        good, bad = decode(batch)
-        good = good.filter(F.col("run_id") == run_id) if run_id else good
-        broken = store.append(table, good)
-        bad.select(F.to_json(F.struct("*")).alias("row")).unionByName(broken.select(F.to_json(F.struct("*")).alias("row"))).write.mode("append").json(store.path(f"{table}_rejected"))
+        batch = batch.persist()  # read once for the table and the rejects
+        try:
+            good, bad = decode(batch)
+            good = good.filter(F.col("run_id") == run_id) if run_id else good
+            broken = store.append(table, good)
+            rejects = bad.select(F.to_json(F.struct("*")).alias("row")).unionByName(broken.select(F.to_json(F.struct("*")).alias("row")))
+            rejects.write.mode("append").json(store.path(f"{table}_rejected"))
+        finally:
+            batch.unpersist()
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
