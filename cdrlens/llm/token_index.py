@@ -35,7 +35,8 @@ _TRAILER = struct.Struct("<8sQQI")
 _MAGIC = b"TOKSHRD1"
 #: Stands for the end of a document among words; no word holds a blank.
 _END_WORD = b" end"
-_STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,]++(?![^ \t\n\x0b\x0c\r])")
+#: A full stop or comma between an ASCII letter or digit and a blank or newline.
+_STOP, _COMMA = re.compile(rb"\.(?=[ \n])(?<=[A-Za-z0-9].)"), re.compile(rb",(?=[ \n])(?<=[A-Za-z0-9].)")
 
 
 def key_hashes(ids: np.ndarray, null: np.ndarray, copies: np.ndarray) -> np.ndarray:
@@ -176,9 +177,10 @@ class WordEncoder:
         self.table([_END_WORD])
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if any(w == _END_WORD or b"<|" in w for w in words):
+        whole = b"\0".join(words)
+        if b"<|" in whole or _END_WORD in whole or whole.count(b"\0") >= len(words):
             return ragged([[END_ID] if w == _END_WORD else self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words])
-        joined = b"\0".join(words).decode().split("\0") if not any(b"\0" in w for w in words) else [w.decode() for w in words]
+        joined = whole.decode().split("\0")
         texts = [self.SEPARATOR.join(joined[i : i + self.JOINED]) + self.SEPARATOR for i in range(0, len(joined), self.JOINED)]
         ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         cuts = np.nonzero(ids == self.separator)[0]
@@ -190,7 +192,7 @@ class WordEncoder:
         for t in texts:
             own = []
             if t:
-                own = _STOP.sub(rb" \g<0>", t if b"<|" in t else t.lower()).split()
+                own = _COMMA.sub(b" ,", _STOP.sub(b" .", t if b"<|" in t else t.lower())).split()
             words += own
             words.append(_END_WORD)
             counts.append(len(own) + 1)
