@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cdrlens import queries
@@ -25,7 +26,7 @@ def duck():
 
 
 def plain(rows):
-    return sorted(tuple("-" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    return sorted(tuple("-" if v is None or pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
