@@ -199,16 +199,21 @@ def _rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, thresho
     """Pairs (a, b) of different components that some bucket of three or more holds, as far as their
     sketches allow a link; each pair comes from the first band that it shares.
 
-    A bucket's members are dealt into chunks of ``CHUNK``; each pair of chunks is one group, so that no
-    task holds a whole bucket of any size.
+    Members of a bucket's largest component are compared with the others only, never among themselves, so
+    a large group with a few outliers costs its size times the outliers. Members are dealt into chunks of
+    ``CHUNK`` and each pair of chunks is a group of its own: no task holds a whole bucket of any size.
     """
     percent = round(100 * threshold)
     labelled = buckets.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-    open_ = open_.filter("n > 2 and x != y").select("band", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1 and all > 2")
+    chunks = [F.ceil(n / CHUNK).cast("int").alias(c) for n, c in ((F.col("all") - F.col("main.n"), "small"), (F.col("main.n"), "large"))]
+    open_ = open_.select("band", F.col("main.component").alias("main"), *chunks)
     held = labelled.join(open_, "band").join(nodes.select("class", "bands", "sketch"), "class")
-    own = F.pmod(F.xxhash64("class", "band"), F.col("chunks")).cast("int")
-    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    in_main, dice = F.col("component") == F.col("main"), F.xxhash64("class", "band")
+    own = F.when(in_main, F.col("small") + F.pmod(dice, F.col("large"))).otherwise(F.pmod(dice, F.col("small"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(in_main, F.col("small")).otherwise(F.col("small") + F.col("large")) - 1)
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(others))
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "bands", "sketch")
     cut = threshold - ESTIMATE_DEVIATIONS * math.sqrt(threshold * (1 - threshold) / COORDINATES)
 
