@@ -115,9 +115,9 @@ def with_text_columns(
     ship(df.sparkSession)
     added = T._parse_datatype_string(fields) if isinstance(fields, str) else fields
     names = {f.name.lower() for f in added.fields}
-    passed = [f for f in df.schema.fields if f.name == text or f.name.lower() not in names]
+    passed = [f for f in df.schema.fields if keep or f.name == text or f.name.lower() not in names]
     sent = df.select(*[F.col(f"`{f.name}`") for f in passed])
-    out_passed = [f for f in passed if not (drop_text and f.name == text) and not (f.name.lower() in names and not keep)]
+    out_passed = [f for f in passed if keep or not (f.name == text and drop_text) and f.name.lower() not in names]
     result = T.StructType(out_passed if keep else out_passed + added.fields)
     from pyspark.sql.pandas.types import to_arrow_type
 
