@@ -36,6 +36,8 @@ COORDINATES = 512
 #: A candidate whose estimated similarity is so many standard deviations under the threshold is no link
 #: (a chance of 4e-6 for a pair just at the threshold).
 ESTIMATE_DEVIATIONS = 4.5
+#: Parts that each band's members are dealt into where they meet the band's own row.
+SALTS = 32
 #: Members of a bucket that are compared with one another at once.
 CHUNK = 512
 #: Shingles whose windows are gathered at once: what a processor's cache holds.
@@ -209,7 +211,10 @@ def _rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, thresho
     open_ = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1 and all > 2")
     chunks = [F.ceil(n / CHUNK).cast("int").alias(c) for n, c in ((F.col("all") - F.col("main.n"), "small"), (F.col("main.n"), "large"))]
     open_ = open_.select("band", F.col("main.component").alias("main"), *chunks)
-    held = labelled.join(open_, "band").join(nodes.select("class", "bands", "sketch"), "class")
+    # a hot band's members meet its row in SALTS tasks
+    salted = labelled.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
+    open_ = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = salted.join(open_, ["band", "salt"]).join(nodes.select("class", "bands", "sketch"), "class")
     in_main, dice = F.col("component") == F.col("main"), F.xxhash64("class", "band")
     own = F.when(in_main, F.col("small") + F.pmod(dice, F.col("large"))).otherwise(F.pmod(dice, F.col("small"))).cast("int")
     others = F.sequence(F.lit(0), F.when(in_main, F.col("small")).otherwise(F.col("small") + F.col("large")) - 1)
