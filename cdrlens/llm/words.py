@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words remembered at once in a worker; beyond it the table starts anew (results are the same).
-TABLE_WORDS = 400_000
+TABLE_WORDS = 300_000
 #: The same for the remembered words' bytes together.
 TABLE_BYTES = 16 << 20
 
