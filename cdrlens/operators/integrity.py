@@ -224,12 +224,32 @@ def resolve(hits: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     return out.select("run_id", "event_id", "time_us", "rule_id", name.alias("rule_name"), "margin", "evidence", "scenario", F.col("phase").alias("detected_in"), by.cast("int").alias("suppressed_by"))
 
 
+#: Rule functions by number, and the phase that each belongs to; add to both to plug in a rule.
+RULE_FUNCTIONS = {
+    INVENTORY: lambda records, cells, rules, block: unknown_cells(records, cells, rules),
+    TIME_ORDER: lambda records, cells, rules, block: time_backsteps(records, rules, block),
+    ACTIVITY: lambda records, cells, rules, block: device_changes(records, rules),
+    VELOCITY: lambda records, cells, rules, block: impossible_speeds(records, cells, rules),
+}
+
+
+def phase_hits(phase: str, records: DataFrame, cells: DataFrame, rules: Rules = Rules(), which: tuple[int, ...] | None = None, block: int | None = None) -> DataFrame:
+    """Hits of a phase's rules, or of those in ``which``; a rule of the other phase is an error."""
+    own = [r for r in PRECEDENCE if PHASE.get(r) == phase]
+    if not own:
+        raise ValueError(f"phase must be {STREAM} or {BATCH}")
+    if which is not None and (wrong := [r for r in which if r not in own]):
+        raise ValueError(f"rules {wrong} don't belong to the {phase} phase")
+    hits = None
+    for r in own if which is None else which:
+        found = RULE_FUNCTIONS[r](records, cells, rules, block)
+        hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
 def detect(records: DataFrame, cells: DataFrame, rules: Rules = Rules(), block: int | None = None) -> DataFrame:
     """Findings of both phases over stored records. cells: run_id, cell_id, x, y."""
-    hits = unknown_cells(records, cells, rules)
-    for more in (time_backsteps(records, rules, block), device_changes(records, rules), impossible_speeds(records, cells, rules)):
-        hits = hits.unionByName(more)
-    return resolve(hits)
+    return resolve(phase_hits(STREAM, records, cells, rules, block=block).unionByName(phase_hits(BATCH, records, cells, rules)))
 
 
 def consecutive_gaps(records: DataFrame) -> DataFrame:

@@ -54,8 +54,7 @@ def stream_phase(store: Store, run_id: str, plane: Plane, rules: Rules = Rules()
     cells = _placed(store, run_id, plane)
     integrity.require_inventory(cells, run_id)
     records = store.read("records").filter(F.col("run_id") == run_id)
-    hits = integrity.unknown_cells(records, cells, rules).unionByName(integrity.time_backsteps(records, rules))
-    store.append("findings", integrity.resolve(hits))
+    store.append("findings", integrity.resolve(integrity.phase_hits(integrity.STREAM, records, cells, rules)))
     store.update_run(run_id, inspected_records=records.count())
 
 
@@ -67,7 +66,7 @@ def batch_phase(store: Store, run_id: str, plane: Plane, rules: Rules = Rules())
     if store.count("records", run_id) != run["published_events"]:
         raise NotReady(f"run {run_id}: records are missing")
     records = store.read("records").filter(F.col("run_id") == run_id)
-    hits = integrity.device_changes(records, rules).unionByName(integrity.impossible_speeds(records, _placed(store, run_id, plane), rules))
+    hits = integrity.phase_hits(integrity.BATCH, records, _placed(store, run_id, plane), rules)
     store.append("findings", integrity.resolve(hits, store.canonical_claims(run_id)))
 
 

@@ -24,7 +24,7 @@ from .sources.adapters import Adapted, duck_with
 RUN = "run-A"
 RULES = Rules(max_kmh=adapters.SPEED_KMH)
 PLANE = Plane(adapters.ORIGIN_LAT, adapters.ORIGIN_LON)
-SETTINGS = Settings(adapters.ORIGIN_LAT, adapters.ORIGIN_LON, grid_m=150.0)
+SETTINGS = Settings(adapters.ORIGIN_LAT, adapters.ORIGIN_LON, grid_m=250.0)
 BOX = service.Box(39.05, 38.05, 39.35, 38.3)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,12 +268,11 @@ def _(a):
 
 @query(
     "run_difference",
-    "WITH a AS (SELECT azimuth, r_max_m, freq_mhz, lat, lon FROM cells WHERE run_id = 'run-A'), b AS (SELECT azimuth, r_max_m, freq_mhz, lat, lon FROM cells WHERE run_id = 'run-B' AND site_id % 9 <> 0) SELECT *, 'run-A' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'run-B' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
-    ("cells",),
+    "WITH a AS (SELECT event_type, cell_id, ta_value FROM records WHERE run_id = 'run-A'), b AS (SELECT event_type, cell_id, ta_value FROM records WHERE run_id = 'run-B') SELECT *, 'run-A' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'run-B' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
+    _T,
 )
 def _(a):
-    some = a.cells.filter("run_id = 'run-A' or (run_id = 'run-B' and site_id % 9 <> 0)")
-    return measurement.run_difference(some, "run-A", "run-B", ("run_id", "cell_id", "site_id", "beam_width", "eirp_dbm", "ant_height", "tilt_deg", "morphology", "model_type"))
+    return measurement.run_difference(a.records, "run-A", "run-B", ("run_id", "event_id", "seq", "time_us", "subscriber", "device", "scenario"))
 
 
 # ---- query service
@@ -444,36 +443,33 @@ def _(a):
 # ---- estimation, sampling
 @query(
     "neighbour_candidates",
-    f"WITH {_PLACED}, c AS (SELECT run_id, cell_id, r_max_m, x, y, x + 2 * r_max_m * sin(radians(32.5)) / (3 * radians(32.5)) * sin(radians(azimuth)) AS cx, y + 2 * r_max_m * sin(radians(32.5)) / (3 * radians(32.5)) * cos(radians(azimuth)) AS cy FROM placed WHERE run_id = '{RUN}') SELECT a.cell_id, least(8, count(b.cell_id)) AS neighbours FROM c a LEFT JOIN c b ON a.cell_id <> b.cell_id AND sqrt((a.cx - b.x) * (a.cx - b.x) + (a.cy - b.y) * (a.cy - b.y)) <= b.r_max_m GROUP BY a.cell_id",
+    f"WITH {_PLACED}, c AS (SELECT run_id, cell_id, r_max_m, x, y, x + 2 * r_max_m * sin(radians(32.5)) / (3 * radians(32.5)) * sin(radians(azimuth)) AS cx, y + 2 * r_max_m * sin(radians(32.5)) / (3 * radians(32.5)) * cos(radians(azimuth)) AS cy FROM placed) SELECT a.run_id, a.cell_id, least(8, count(b.cell_id)) AS neighbours FROM c a LEFT JOIN c b ON a.run_id = b.run_id AND a.cell_id <> b.cell_id AND sqrt((a.cx - b.x) * (a.cx - b.x) + (a.cy - b.y) * (a.cy - b.y)) <= b.r_max_m GROUP BY 1, 2",
     _T,
 )
 def _(a):
-    out = estimation.with_neighbours(a.cells.filter(F.col("run_id") == RUN), SETTINGS)
-    return out.select("cell_id", F.coalesce(F.size("neighbours"), F.lit(0)).cast("long").alias("neighbours"))
-
-
-_RANKED = "SELECT cell_id, event_id, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY cell_id) AS mass, n FROM (SELECT cell_id, event_id, event_id % 17 + 1 AS n FROM records WHERE run_id = 'run-A')"
+    out = estimation.with_neighbours(a.cells, SETTINGS)
+    return out.select("run_id", "cell_id", F.coalesce(F.size("neighbours"), F.lit(0)).cast("long").alias("neighbours"))
 
 
-@query("density_prefix", f"SELECT cell_id, count(*) AS members FROM (SELECT cell_id, sum(n) OVER (PARTITION BY cell_id ORDER BY n DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before, sum(n) OVER (PARTITION BY cell_id) AS total FROM ({_RANKED})) WHERE before < 0.9 * total GROUP BY cell_id", _T)
+@query("density_prefix", "SELECT run_id, cell_id, count(*) AS members FROM (SELECT run_id, cell_id, sum(n) OVER (PARTITION BY run_id, cell_id ORDER BY n DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before, sum(n) OVER (PARTITION BY run_id, cell_id) AS total FROM (SELECT run_id, cell_id, event_id, event_id % 17 + 1 AS n FROM records)) WHERE before < 0.9 * total GROUP BY 1, 2", _T)
 def _(a):
     """The smallest likeliest set that holds nine tenths, as a window over long-form weights."""
-    rows = a.records.filter(F.col("run_id") == RUN).select("cell_id", "event_id", (F.col("event_id") % 17 + 1).alias("n"))
-    order = Window.partitionBy("cell_id").orderBy(F.desc("n"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("cell_id")))
-    return rows.filter(F.col("before") < 0.9 * F.col("total")).groupBy("cell_id").agg(F.count("*").alias("members"))
+    rows = a.records.select("run_id", "cell_id", "event_id", (F.col("event_id") % 17 + 1).alias("n"))
+    group = Window.partitionBy("run_id", "cell_id")
+    order = group.orderBy(F.desc("n"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("total", F.sum("n").over(group))
+    return rows.filter(F.col("before") < 0.9 * F.col("total")).groupBy("run_id", "cell_id").agg(F.count("*").alias("members"))
 
 
 @query("location_shapes", None)
 def _(a):
-    made = estimation.shapes(a.records.filter(F.col("run_id") == RUN), a.cells, SETTINGS)
-    return made.select("cell_id", "ta_value", "method", "confidence", F.round("area_km2", 6).alias("area_km2"), "part_count", "ta_used", F.round("centroid_lat", 7).alias("centroid_lat"), F.round("centroid_lon", 7).alias("centroid_lon"))
+    made = estimation.shapes(a.records, a.cells, SETTINGS)
+    return made.select("run_id", "cell_id", "ta_value", "method", "confidence", F.round("area_km2", 6).alias("area_km2"), "part_count", "ta_used", F.round("centroid_lat", 7).alias("centroid_lat"), F.round("centroid_lon", 7).alias("centroid_lon"))
 
 
-@query("estimates_per_event", "SELECT r.run_id, count(*) AS events, count(*) * 5 AS n FROM records r JOIN cells c ON c.run_id = r.run_id AND c.cell_id = r.cell_id WHERE r.run_id = 'run-A' AND r.ta_value IS NULL GROUP BY 1", _T)
+@query("estimates_per_event", "SELECT r.run_id, count(*) AS events, count(*) * 5 AS n FROM records r JOIN cells c ON c.run_id = r.run_id AND c.cell_id = r.cell_id GROUP BY 1", _T)
 def _(a):
-    some = a.records.filter((F.col("run_id") == RUN) & F.col("ta_value").isNull())
-    return estimation.estimates(some, a.cells, SETTINGS).groupBy("run_id").agg(F.count_distinct("event_id").alias("events"), F.count("*").alias("n"))
+    return estimation.estimates(a.records, a.cells, SETTINGS).groupBy("run_id").agg(F.count_distinct("event_id").alias("events"), F.count("*").alias("n"))
 
 
 @query("exact_sample", None)

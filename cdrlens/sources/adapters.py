@@ -40,7 +40,7 @@ RECORDS = (
   {sha_user} AS subscriber, {sha_device} AS device,
   CASE event_id % 5 WHEN 0 THEN 'MOC' WHEN 1 THEN 'MTC' WHEN 2 THEN 'SMS' ELSE 'DATA' END AS event_type,
   CASE slot WHEN 1 THEN -event_id - 1 WHEN 2 THEN ((site + CAST(floor(CAST(sites AS DOUBLE) / CAST(2 AS DOUBLE)) AS BIGINT)) % sites + 1) * 10 + sector ELSE site * 10 + sector END AS cell_id,
-  CAST(CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 12 END AS INT) AS ta_value, scenario
+  CAST(CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 4 END AS INT) AS ta_value, scenario
 FROM ("""
     + _BASE
     + ") b WHERE slot <> 4"
@@ -70,13 +70,12 @@ FROM {records} r JOIN {cells} c ON c.run_id = r.run_id AND c.cell_id = r.cell_id
   UNION ALL SELECT 'M', CAST(0.5 AS DOUBLE), CAST(0.25 AS DOUBLE), CAST(0.005 AS DOUBLE), CAST(0.00375 AS DOUBLE), 2
   UNION ALL SELECT 'M', CAST(0.9 AS DOUBLE), CAST(0.4375 AS DOUBLE), CAST(0.005 AS DOUBLE), CAST(0.00375 AS DOUBLE), 3
   UNION ALL SELECT 'M', CAST(0.95 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.005 AS DOUBLE), CAST(0.00375 AS DOUBLE), 4) m
-WHERE r.event_id % 2 = 0
 """
 
 RUNS = """
 SELECT g.run_id, substr(g.run_id, 5, 1) AS scenario, 'urban' AS morphology, CAST(42 AS BIGINT) AS seed, CAST(1 AS DOUBLE) AS lambda,
   min(g.time_us) AS started_us, max(g.time_us) AS finished_us, CAST(sum(CASE WHEN g.injected_rule = 4 THEN 0 ELSE 1 END) AS BIGINT) AS published_events,
-  CAST(sum(CASE WHEN g.event_id % 2 = 0 AND g.event_id % 50 NOT IN (1, 4) THEN 1 ELSE 0 END) AS BIGINT) AS analyzed_events,
+  CAST(sum(CASE WHEN g.event_id % 50 NOT IN (1, 4) THEN 1 ELSE 0 END) AS BIGINT) AS analyzed_events,
   CAST(CASE WHEN g.run_id = 'run-D' THEN NULL ELSE sum(CASE WHEN g.injected_rule = 4 THEN 0 ELSE 1 END) END AS BIGINT) AS inspected_records
 FROM {truth} g GROUP BY g.run_id
 """

@@ -143,3 +143,11 @@ def test_partition_guard():
 def test_gaps(spark):
     row = it.consecutive_gaps(records(spark, [("a", 0, "s", "", "c"), ("b", 4_000_000, "s", "", "c"), ("c", 10_000_000, "s", "", "c")])).first()
     assert (row.gaps, row.median_gap_s) == (2, 5.0)
+
+
+def test_phases_keep_to_their_rules(spark):
+    rows, cells = sequence(spark, SEQUENCES["jump"][0])
+    assert it.phase_hits(it.BATCH, rows, cells, which=(2,)).count() == 1
+    for bad in ((it.STREAM, (5,)), (it.BATCH, (1,)), ("other", None)):
+        with pytest.raises(ValueError):
+            it.phase_hits(bad[0], rows, cells, which=bad[1])
