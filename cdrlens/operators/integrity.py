@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import clock
+
 INVENTORY, VELOCITY, TIME_ORDER, TRAJECTORY, ACTIVITY = 1, 2, 3, 4, 5
 #: Rule names, which rules are about single events, and their precedence.
 NAMES = {1: "inventory", 2: "velocity", 3: "time_order", 4: "trajectory_gap", 5: "activity"}
@@ -115,7 +117,7 @@ def time_backsteps(records: DataFrame, rules: Rules = Rules(), block: int | None
     bad = marked.withColumn("_back", back).filter(F.col("_back") > rules.tolerance_s)
     proof = evidence(
         TIME_ORDER,
-        {"record_time": F.date_format(F.timestamp_micros("time_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "watermark": F.date_format(F.timestamp_micros("_w.t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "prev_event_id": F.col("_w.e").cast("string")},
+        {"record_time": clock.text("time_us"), "watermark": clock.text("_w.t"), "prev_event_id": F.col("_w.e").cast("string")},
         {"backstep_s": F.col("_back"), "tolerance_s": F.lit(rules.tolerance_s)},
         rules.margin_cap,
     )

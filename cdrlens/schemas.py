@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import clock
+
 EVENT_TYPES = ("MOC", "MTC", "SMS", "DATA", "IDLE")
 
 
@@ -104,4 +106,4 @@ TABLES = {
 
 
 def event_date(time_us: str = "time_us") -> Column:
-    return F.to_date(F.timestamp_micros(time_us)).cast("string")
+    return clock.day(time_us)

@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import clock
+
 RECORD = "run_id string, event_id string, time string, pseudo_msisdn string, pseudo_imei string, event_type string, cell_id string, ta_value int, scenario string"
 TRUTH = "run_id string, event_id string, time string, agent_id int, lat double, lon double, covered boolean, partition_key string, injected_rule int"
 _UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 _NIL = "00000000-0000-0000-0000-000000000000"
 
 
-def time_text(time_us: Column) -> Column:
-    """RFC 3339 in UTC with microseconds, whatever the session's zone."""
-    stamp = F.to_utc_timestamp(F.timestamp_micros(time_us), F.current_timezone())
-    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-
-
 def time_us(text: Column) -> Column:
     """Microseconds of an RFC 3339 time, null if it isn't one."""
     return F.unix_micros(F.try_to_timestamp(text))
@@ -24,13 +20,13 @@ def time_us(text: Column) -> Column:
 
 def encode_records(df: DataFrame) -> DataFrame:
     """``key, value`` of each record: keyed by subscriber, so that a partition keeps a subscriber's order."""
-    body = F.struct("run_id", "event_id", time_text(F.col("time_us")).alias("time"), F.col("subscriber").alias("pseudo_msisdn"), F.col("device").alias("pseudo_imei"), "event_type", "cell_id", "ta_value", "scenario")
+    body = F.struct("run_id", "event_id", clock.text("time_us").alias("time"), F.col("subscriber").alias("pseudo_msisdn"), F.col("device").alias("pseudo_imei"), "event_type", "cell_id", "ta_value", "scenario")
     return df.select(F.col("subscriber").alias("key"), F.to_json(body).alias("value"))
 
 
 def encode_truth(df: DataFrame) -> DataFrame:
     """``key, value`` of each truth row, keyed by agent."""
-    body = F.struct("run_id", "event_id", time_text(F.col("time_us")).alias("time"), "agent_id", "lat", "lon", "covered", "partition_key", "injected_rule")
+    body = F.struct("run_id", "event_id", clock.text("time_us").alias("time"), "agent_id", "lat", "lon", "covered", "partition_key", "injected_rule")
     return df.select(F.col("agent_id").cast("string").alias("key"), F.to_json(body).alias("value"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import clock
 from ..operators import integrity
 from ..operators.integrity import Rules
 from ..runtime import ship
@@ -109,7 +110,7 @@ def stream_hits(records: DataFrame, cells: DataFrame, rules: Rules = Rules()) ->
     back = (F.col("watermark") - F.col("time_us")) / F.lit(1e6)
     proof = integrity.evidence(
         integrity.TIME_ORDER,
-        {"record_time": F.date_format(F.timestamp_micros("time_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "watermark": F.date_format(F.timestamp_micros("watermark"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "prev_event_id": F.col("prev_event_id")},
+        {"record_time": clock.text("time_us"), "watermark": clock.text("watermark"), "prev_event_id": F.col("prev_event_id")},
         {"backstep_s": back, "tolerance_s": F.lit(rules.tolerance_s)},
         rules.margin_cap,
     )

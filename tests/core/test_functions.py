@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cdrlens.functions import geo, identity, radio, timing
+from cdrlens.functions import clock, geo, identity, radio, timing
 from cdrlens.functions import geometry as g
 from cdrlens.functions.geo import HexLattice, Plane
 from cdrlens.functions.mathops import COL, normal_cdf
@@ -208,3 +208,15 @@ def test_counter_based_numbers_are_uniform():
     assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.01
     z = identity.standard_normal(identity.chain(np.uint64(1), np.arange(20_000)))
     assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
+
+
+def test_times_are_utc_in_any_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    rows = spark.createDataFrame([(1_704_067_199_999_999,), (0,), (-1,)], "t long")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [tuple(r) for r in rows.select(clock.text("t"), clock.day("t")).collect()]
+            assert got == [("2023-12-31T23:59:59.999999Z", "2023-12-31"), ("1970-01-01T00:00:00.000000Z", "1970-01-01"), ("1969-12-31T23:59:59.999999Z", "1969-12-31")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
