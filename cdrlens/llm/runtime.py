@@ -73,8 +73,16 @@ class Scratch:
             pass
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session leaves Spark's default of 64 MB.
+ARROW_BYTES = 8 << 20
+_ARROW_SETTING, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers started on this machine import this package."""
+    """Let Python workers started on this machine import this package, and keep batches of texts small:
+    they are held several times over, on both sides."""
+    if spark.conf.get(_ARROW_SETTING) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_SETTING, f"{ARROW_BYTES}b")
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if _ROOT not in have.split(os.pathsep):

@@ -182,7 +182,7 @@ class WordEncoder:
             return ragged([[END_ID] if w == _END_WORD else self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words])
         joined = whole.decode().split("\0")
         texts = [self.SEPARATOR.join(joined[i : i + self.JOINED]) + self.SEPARATOR for i in range(0, len(joined), self.JOINED)]
-        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, np.int32) for i in range(0, len(texts), 16) for e in self.tokenizer.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)])
         cuts = np.nonzero(ids == self.separator)[0]
         return ids[ids != self.separator], np.diff(cuts, prepend=-1) - 1
 
