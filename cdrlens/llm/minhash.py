@@ -39,7 +39,7 @@ ESTIMATE_DEVIATIONS = 4.5
 #: Parts that each band's members are dealt into where they meet the band's own row.
 SALTS = 32
 #: Members of a bucket that are compared with one another at once.
-CHUNK = 512
+CHUNK = 256
 #: Shingles whose windows are gathered at once: what a processor's cache holds.
 GATHER = 512
 SEED = 20_011
