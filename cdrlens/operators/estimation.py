@@ -25,6 +25,8 @@ from ..runtime import ship
 LEVELS = (0.50, 0.90, 0.95)
 SENTINEL = -1.0
 MASS_TOLERANCE = 1e-9
+#: Rows of a frame handed back to Spark, about.
+FRAME_ROWS = 2000
 
 
 @dataclass(frozen=True)
@@ -118,7 +120,14 @@ class CellKernel:
             best = np.max([_cell_power(n, self.x, self.y, s.ut_height_m) for n in neighbours], axis=0)
             weight = weight * normal_cdf((power - best) / (sigma * math.sqrt(2)))
         self.weight = weight
-        self._corners = None
+        self._corners = self._baselines = None
+
+    def baselines(self, plane: Plane) -> list[tuple]:
+        """The rows of the whole disk and of the sector, which no timing advance changes."""
+        if self._baselines is None:
+            disk, outline = g.disk(self.sector.x, self.sector.y, self.sector.radius), self.sector.outline()
+            self._baselines = [_shape_row(name, SENTINEL, plane, shape, g.plane_centroid(shape), False) for name, shape in (("B0", disk), ("B1", outline))]
+        return self._baselines
 
     def mass(self, ta: int | None) -> tuple[np.ndarray, bool]:
         """Mass of each hexagon, summing to 1, and whether the timing advance took part."""
@@ -159,14 +168,9 @@ def _shape_row(method, confidence, plane, shape, centroid, ta_used):
 
 def shapes_of(kernel: CellKernel, ta: int | None, plane: Plane) -> list[tuple]:
     """The five rows: whole disk, sector, and the regions of highest density."""
-    sector, s = kernel.sector, kernel.s
-    disk = g.disk(sector.x, sector.y, sector.radius)
-    outline = sector.outline()
+    s = kernel.s
     mass, used = kernel.mass(ta)
-    rows = [
-        _shape_row("B0", SENTINEL, plane, disk, g.plane_centroid(disk), False),
-        _shape_row("B1", SENTINEL, plane, outline, g.plane_centroid(outline), False),
-    ]
+    rows = list(kernel.baselines(plane))
     ranked = kernel.ranked(mass)
     for level in sorted(s.levels):
         top = kernel.contour(mass, level, ranked)
@@ -179,7 +183,15 @@ def shapes_of(kernel: CellKernel, ta: int | None, plane: Plane) -> list[tuple]:
 def _pairs(records: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
     """One row a cell that occurs: its data, neighbours, and all timing advances (null among them)."""
     distinct = records.groupBy("run_id", "cell_id").agg(F.collect_set("ta_value").alias("tas"), F.max(F.col("ta_value").isNull()).alias("without"))
-    return with_neighbours(cells, s).join(distinct, ["run_id", "cell_id"])
+    return spread(with_neighbours(cells, s).join(distinct, ["run_id", "cell_id"]))
+
+
+def spread(cells: DataFrame) -> DataFrame:
+    """Few small rows with much work each: deal them out to as many tasks as shuffles have, which adaptive
+    execution would join again by their size."""
+    spark = cells.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cells.repartition(2 * n)  # by key it would be taken for the join's own exchange
 
 
 def shapes(records: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
@@ -187,22 +199,31 @@ def shapes(records: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
     ship(records.sparkSession)
     plane, lattice = Plane(s.origin_lat, s.origin_lon), HexLattice(s.grid_m)
 
+    names = ["run_id", "cell_id", "ta_value", *[f.split()[0] for f in _SHAPE.split(", ")]]
+
+    def rows_of(cell) -> list[tuple]:
+        try:
+            kernel = CellKernel(cell, cell["neighbours"], s, lattice)
+        except ValueError:
+            return []
+        out = []
+        for ta in [*(int(t) for t in cell["tas"]), *([None] if cell["without"] else [])]:
+            try:
+                out += [(cell["run_id"], cell["cell_id"], ta, *row) for row in shapes_of(kernel, ta, plane)]
+            except ValueError:
+                continue
+        return out
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
         for frame in frames:
             for cell in frame.to_dict("records"):
-                out = []
-                try:
-                    kernel = CellKernel(cell, cell["neighbours"], s, lattice)
-                except ValueError:
-                    continue
-                for ta in [*(int(t) for t in cell["tas"]), *([None] if cell["without"] else [])]:
-                    try:
-                        out += [(cell["run_id"], cell["cell_id"], ta, *row) for row in shapes_of(kernel, ta, plane)]
-                    except ValueError:
-                        continue
-                if out:
-                    made = pd.DataFrame(out, columns=["run_id", "cell_id", "ta_value", *[f.split()[0] for f in _SHAPE.split(", ")]])
-                    yield made.astype({"ta_value": "Int32", "part_count": "int32"})
+                out += rows_of(cell)
+                if len(out) >= FRAME_ROWS:
+                    yield pd.DataFrame(out, columns=names).astype({"ta_value": "Int32", "part_count": "int32"})
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({"ta_value": "Int32", "part_count": "int32"})
 
     pairs = _pairs(records, cells, s)
     kinds = dict(cells.dtypes)
