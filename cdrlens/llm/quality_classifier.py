@@ -16,8 +16,8 @@ from .lines import FEATURES, lines_of, marginals, with_neighbours
 from .runtime import with_text_columns
 from .words import HashTable
 
-#: Labelled documents that the weights are fitted to, at most, and lines of each that count in fitting.
-SAMPLE, SAMPLE_LINES = 4000, 200
+#: Labelled documents that the weights are fitted to, at most; of each the whole text.
+SAMPLE = 4000
 HELD_OUT = 2
 PREDICT_AT = 0.7
 STEPS, RATE, RIDGE = 250, 0.08, 2e-4
@@ -62,15 +62,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
         def call(texts):
             lines = lines_of(texts, hashes)
-            return {"_lines": [lines.features[a : min(b, a + SAMPLE_LINES)].ravel() for a, b in zip(lines.first, lines.first[1:], strict=False)]}
+            return {"_lines": [lines.features[a:b].astype(np.float32).ravel() for a, b in zip(lines.first, lines.first[1:], strict=False)]}
 
         return call
 
-    rows = with_text_columns(own, make, "_lines array<double>", drop_text=True).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = with_text_columns(own, make, "_lines array<float>", drop_text=True).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     label = np.array([r["_label"] for r in rows], np.int64)
     if not len(label) or label.min() == label.max():
         return None
-    features = [np.array(r["_lines"]).reshape(-1, len(FEATURES)) for r in rows]
+    features = [np.array(r["_lines"], float).reshape(-1, len(FEATURES)) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])])
     return fit(np.concatenate(features), first, label)
 
