@@ -216,8 +216,8 @@ def run_difference(table: DataFrame, left: str, right: str, without: tuple = ("r
     return a.exceptAll(b).withColumn("only_in", F.lit(left)).unionByName(b.exceptAll(a).withColumn("only_in", F.lit(right)))
 
 
-def first_claims_by_subscriber(records: DataFrame, rank: int = 1) -> DataFrame:
+def modal_devices(records: DataFrame, rank: int = 1) -> DataFrame:
     """The shadow computation of the most frequent device: row_number over (count descending, device)."""
     n = records.filter(F.length("device") > 0).groupBy("run_id", "subscriber", "device").agg(F.count("*").alias("n"))
     order = Window.partitionBy("run_id", "subscriber").orderBy(F.desc("n"), "device")
-    return n.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rank)
+    return n.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= rank)

@@ -140,7 +140,7 @@ def _(a):
 
 @query("modal_device", "SELECT run_id, subscriber, device, n, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, subscriber ORDER BY n DESC, device) AS k FROM (SELECT run_id, subscriber, device, count(*) AS n FROM records WHERE device <> '' GROUP BY 1, 2, 3)) WHERE k <= 1", _T)
 def _(a):
-    return measurement.first_claims_by_subscriber(a.records)
+    return measurement.modal_devices(a.records)
 
 
 @query(
