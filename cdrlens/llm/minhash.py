@@ -295,7 +295,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_RO
     labels = components(links.union(more), scratch)
 
     of = nodes.select("class", "least").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    # as a table of its own, so that the join below is one of plain exchanges, which can split a hot component
+    least = scratch.save(of.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     of = scratch.save(of.join(least, "component").select("class", "component_id"), "of")
     out = sig.select("doc_id", "text_key", "n_shingles", "class").join(of, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
