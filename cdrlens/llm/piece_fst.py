@@ -28,7 +28,9 @@ from .words import RaggedTable, ragged
 BLANK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 #: Weight of a character that goes to bytes, and pairs remembered.
-FALLBACK, PAIRS = 20.0, 300_000
+FALLBACK, PAIRS = 20.0, 200_000
+#: Units remembered.
+UNITS = 150_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -225,7 +227,7 @@ class Codec:
     def __init__(self, model_file: str):
         self.model = Model(model_file)
         self.transducer = Transducer(self.model)
-        self.table = RaggedTable(lambda units: ragged([self.transducer.solve(u) for u in units]), np.int32)
+        self.table = RaggedTable(lambda units: ragged([self.transducer.solve(u) for u in units]), np.int32, UNITS)
         self.output = [b"" if k in (_CONTROL, _UNKNOWN) else p.replace(BLANK, " ").encode() for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
         for value, i in self.model.bytes.items():
             self.output[i] = bytes([value])

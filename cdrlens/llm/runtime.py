@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one Python call works on; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _scratch_roots: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()

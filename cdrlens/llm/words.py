@@ -9,7 +9,9 @@ import numpy as np
 import xxhash
 
 #: Distinct words remembered at once in a worker; beyond it the table starts anew (results are the same).
-TABLE_WORDS = 250_000
+TABLE_WORDS = 200_000
+#: Hashes remembered: they are cheap to make again.
+HASHED_WORDS = 100_000
 #: The same for the remembered words' bytes together.
 TABLE_BYTES = 16 << 20
 
@@ -28,7 +30,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class HashTable:
     """64-bit hashes of words; a word is hashed once as long as the table remembers it."""
 
-    def __init__(self, capacity: int = TABLE_WORDS):
+    def __init__(self, capacity: int = HASHED_WORDS):
         self.capacity = capacity
         self.known: dict[bytes, int] = {}
         self.size = 0
@@ -37,14 +39,15 @@ class HashTable:
         if len(self.known) > self.capacity or self.size > TABLE_BYTES:
             self.known, self.size = {}, 0
         known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            digest = xxhash.xxh64_intdigest
-            for w in set(words).difference(known):
-                known[w] = digest(w)
+        out = np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))
+        missing = np.nonzero(out == 0)[0].tolist()
+        if missing:
+            new = [words[i] for i in missing]
+            for w in set(new):
+                known[w] = xxhash.xxh64_intdigest(w)
                 self.size += len(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            out[missing] = [known[w] for w in new]
+        return out
 
 
 class RaggedTable:
