@@ -24,12 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import SLICE_BYTES, Scratch, _slices, ship
+from .runtime import Scratch, _slices, ship
 from .words import RaggedTable, mix64, ragged
 
 END_ID = 2
 #: Text bytes of a shard, about; a shard is read as a whole.
 SHARD_BYTES = 12 << 20
+#: Text bytes encoded at once, and texts of joined words that the tokenizer gets at once.
+SLICE_BYTES, JOINED_TEXTS = 2 << 20, 64
 LOAD, LEVELS = 2.0, 64
 _TRAILER = struct.Struct("<8sQQI")
 _MAGIC = b"TOKSHRD1"
@@ -182,7 +184,7 @@ class WordEncoder:
             return ragged([[END_ID] if w == _END_WORD else self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words])
         joined = whole.decode().split("\0")
         texts = [self.SEPARATOR.join(joined[i : i + self.JOINED]) + self.SEPARATOR for i in range(0, len(joined), self.JOINED)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for i in range(0, len(texts), 16) for e in self.tokenizer.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, np.int32) for i in range(0, len(texts), JOINED_TEXTS) for e in self.tokenizer.encode_batch_fast(texts[i : i + JOINED_TEXTS], add_special_tokens=False)])
         cuts = np.nonzero(ids == self.separator)[0]
         return ids[ids != self.separator], np.diff(cuts, prepend=-1) - 1
 
