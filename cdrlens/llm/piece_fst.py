@@ -28,9 +28,9 @@ from .words import RaggedTable, ragged
 BLANK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 #: Weight of a character that goes to bytes, and pairs remembered.
-FALLBACK, PAIRS = 20.0, 200_000
+FALLBACK, PAIRS = 20.0, 500_000
 #: Units remembered.
-UNITS = 150_000
+UNITS = 300_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
