@@ -1,9 +1,11 @@
 import html
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cdrlens.llm import htmltext
 from cdrlens.llm.htmltext import extract, extracted
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
@@ -26,6 +28,14 @@ def test_without_article_tag():
     assert extract(page).split("\n") == paragraphs
 
 
+@pytest.mark.parametrize("limit,whole", [(htmltext.THRESHOLD, True), (1e9, False)])
+def test_ratios_decide_without_article(monkeypatch, limit, whole):
+    monkeypatch.setattr(htmltext, "THRESHOLD", limit)
+    text = ["Head", *[f"Paragraph {k} has some words, and marks; it is of the usual length." for k in range(4)], "Sh is."]
+    page = "<body><div class=x7>Buy it now, cheap.</div><div><h1>Head</h1>" + "".join(f"<p>{t}</p>" for t in text[1:]) + "</div><div class=x8>All of it</div></body>"
+    assert (extract(page).split("\n") == text) == whole
+
+
 def test_cut_off_pages():
     page = "<html><body><nav><a href='/'>x</a></nav><article><h1>Head</h1><p>Some words, here.</p><p>And the la"
     assert extract(page) == "Head\nSome words, here.\nAnd the la"
