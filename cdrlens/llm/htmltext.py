@@ -6,7 +6,7 @@ punctuation a block of a path, smoothed over neighbouring blocks in page order,
 blocks whose path reaches a share of the fused ratios' standard deviation are content. The container
 that holds the content is then kept whole: headings and short paragraphs in it stay, and only blocks
 that are marked as something else (menus, adverts, forms, comments and so on) or are mere lists of
-links go.
+links go. A class, id, role or form is only evidence: such a mark falls if nearly all content is under it.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ from .runtime import with_text_columns
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template svg math iframe noframes noembed xmp object canvas audio video".split())
-NOISE = frozenset("head nav aside footer form menu dialog button select datalist fieldset".split())
+NOISE = frozenset("head nav aside footer menu dialog button select datalist".split())
+FORM = frozenset("form fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 NOISE_NAMES = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+#: Words that make a name say something of the page's layout, as in has-sidebar and comments-open.
+LAYOUT_FIRST, LAYOUT_LAST = frozenset("has no with without".split()), frozenset("open closed".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl menu select body html article section div main".split())
@@ -39,6 +42,8 @@ KERNEL = (0.25, 0.5, 0.25)
 #: A container is gone down into as long as one child holds this share of the content.
 INNER_SHARE = 0.6
 LINK_SHARE = 0.6
+#: A mark can fall if elements marked alike hold this share of the content and so much at most is unmarked.
+MARKED_SHARE, UNMARKED_SHARE = 0.5, 0.25
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<!--(?:.*?-->|.*\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
@@ -50,10 +55,17 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 class Element:
     tag: str
     parent: Element | None
-    noise: bool
     path: str
     depth: int
+    dropped: bool = False
+    #: What its names, role or form say, or nothing, and whether that is all they say.
+    mark: str = ""
+    whole_mark: bool = False
+    article: bool = False
+    #: Set by ``_settle``: in something else than the main text, in <article> or <main>, the outermost mark that holds.
+    noise: bool = False
     main: bool = False
+    cause: Element | None = None
 
 
 @dataclass
@@ -63,23 +75,44 @@ class Text:
     links: int = 0
 
 
-def _is_noise(tag: str, attributes: str, parent: Element) -> bool:
-    if tag in NOISE or tag == "header" and not parent.main:
-        return True
+def _says_noise(words: list[str]) -> bool:
+    return any(w in NOISE_NAMES for w in words) and not any(w in LAYOUT_FIRST for w in words) and words[-1] not in LAYOUT_LAST
+
+
+def _evidence(tag: str, attributes: str) -> tuple[bool, str, bool]:
+    """Whether the element isn't shown or is no text by its role, its mark, and whether the mark has no other part."""
+    dropped, marks, whole = False, [tag] if tag in FORM else [], False
     if tag in ("html", "body", "main"):
-        return False
+        return False, "", False
     for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" and m[2] is None or key == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if key in ("class", "id") and any(n.lower() in NOISE_NAMES for n in _NAME.findall(value)):
-            return True
-    return False
+        if key == "hidden" and m[2] is None or key == "role" and value.lower() in NOISE_ROLES - FORM:
+            dropped = True
+        elif key == "role" and value.lower() in FORM:
+            marks.append(tag)
+        elif key in ("class", "id"):
+            for name in value.split():
+                words = [w.lower() for w in _NAME.findall(name)]
+                if words and _says_noise(words):
+                    marks.append(name)
+                    whole = whole or all(w in NOISE_NAMES for w in words)
+    return dropped, " ".join(marks), whole
+
+
+def _settle(elements: list[Element], fallen: set[int] | None) -> None:
+    """Set what is noise and main text, parents first, when the marks in ``fallen`` (None: all) don't count."""
+    for e in elements:
+        up = e.parent
+        if up is None:
+            continue
+        e.cause = up.cause or (e if e.mark and fallen is not None and id(e) not in fallen else None)
+        e.noise = up.noise or e.dropped or e.cause is not None or e.tag == "header" and not up.main
+        e.main = up.main or e.article and not e.noise
 
 
 def blocks_of(page: str) -> list[Text]:
     """The page's blocks in order, with the elements that hold them."""
-    root = Element("", None, False, "", 0)
+    root = Element("", None, "", 0)
     stack, out, links, pos, n = [root], [], 0, 0, len(page)
     current: Text | None = None
 
@@ -114,7 +147,7 @@ def blocks_of(page: str) -> list[Text]:
             links = 0 if closing else 1
         if tag not in BLOCK:
             if tag in NOISE and not closing:
-                stack.append(Element(tag, stack[-1], True, f"{stack[-1].path}/{tag}", len(stack)))
+                stack.append(Element(tag, stack[-1], f"{stack[-1].path}/{tag}", len(stack), True))
                 current = None
             elif tag in NOISE and any(e.tag == tag for e in stack):
                 while stack.pop().tag != tag:
@@ -142,21 +175,14 @@ def blocks_of(page: str) -> list[Text]:
         if tag in VOID or attributes.endswith("/"):
             continue
         parent = stack[-1]
-        noise = parent.noise or _is_noise(tag, attributes, parent)
-        main = parent.main or not noise and (tag in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?main\b|articleBody", attributes)))
-        stack.append(Element(tag, parent, noise, f"{parent.path}/{tag}", len(stack), main))
+        dropped, mark, whole = _evidence(tag, attributes)
+        article = tag in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?main\b|articleBody", attributes))
+        stack.append(Element(tag, parent, f"{parent.path}/{tag}", len(stack), dropped or tag in NOISE, mark, whole, article))
     return out
 
 
-def extract(page: str) -> str:
-    """The page's main text: blocks in page order, one line each."""
-    found = []
-    for b in blocks_of(page):
-        text = " ".join(html.unescape("".join(b.parts)).split())
-        if text:
-            found.append((b, text, len(PUNCTUATION.findall(text))))
-    if not found:
-        return ""
+def _content_paths(found: list[tuple[Text, str, int]]) -> set[str]:
+    """The paths whose smoothed and fused ratios reach the threshold."""
     paths: dict[str, list[float]] = {}
     for b, text, marks in found:
         p = paths.setdefault(b.element.path, [0, 0, 0])
@@ -176,7 +202,59 @@ def extract(page: str) -> str:
     means = [sum(v) / len(v) for v in by_path.values()]
     mean = sum(means) / len(means)
     limit = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in means) / len(means))
-    content = {p for p, v in by_path.items() if sum(v) and sum(v) / len(v) >= limit}
+    return {p for p, v in by_path.items() if sum(v) and sum(v) / len(v) >= limit}
+
+
+def _weigh_marks(found: list[tuple[Text, str, int]], elements: list[Element]) -> None:
+    """Let marks fall under which nearly all content is, from the outermost inwards.
+
+    Content is measured with no mark counted. A mark of listed words alone (class="comments") falls only if no
+    content is left beside it, others (form, post-comments) if ``UNMARKED_SHARE`` is at most; none does
+    while an unmarked <article> or <main> holds content.
+    """
+    _settle(elements, None)
+    content = _content_paths(found)
+    mass = [len(t) * (b.element.path in content and not b.element.noise) for b, t, _ in found]
+    total, fallen = sum(mass), set()
+    while True:
+        _settle(elements, fallen)
+        rest, alike, causes = 0, {}, {}
+        for (b, _, _), w in zip(found, mass, strict=True):
+            e = b.element
+            if not w:
+                continue
+            if e.cause is None:
+                if e.main:
+                    return
+                rest += w
+            else:
+                key = (e.cause.path, e.cause.mark, e.cause.whole_mark)
+                alike[key] = alike.get(key, 0) + w
+                causes.setdefault(key, set()).add(id(e.cause))
+        best = max(alike, key=alike.get, default=None)
+        if best is None or alike[best] < MARKED_SHARE * total or rest > (0 if best[2] else UNMARKED_SHARE * total):
+            return
+        fallen |= causes[best]
+
+
+def extract(page: str) -> str:
+    """The page's main text: blocks in page order, one line each."""
+    found = []
+    for b in blocks_of(page):
+        text = " ".join(html.unescape("".join(b.parts)).split())
+        if text:
+            found.append((b, text, len(PUNCTUATION.findall(text))))
+    if not found:
+        return ""
+    held: dict[int, Element] = {}
+    for b, _, _ in found:
+        e = b.element
+        while e is not None and id(e) not in held:
+            held[id(e)] = e
+            e = e.parent
+    elements = sorted(held.values(), key=lambda e: e.depth)
+    _weigh_marks(found, elements)
+    content = _content_paths(found)
 
     clean = [(b, t) for b, t, _ in found if not b.element.noise and b.links < LINK_SHARE * len(t)]
     if any(b.element.main for b, _ in clean):

@@ -36,6 +36,29 @@ def test_ratios_decide_without_article(monkeypatch, limit, whole):
     assert (extract(page).split("\n") == text) == whole
 
 
+TEXT = ["Head", *[f"Paragraph {k} has some words, and marks; it is of the usual length." for k in range(4)]]
+INNER = "<h1>Head</h1>" + "".join(f"<p>{t}</p>" for t in TEXT[1:])
+
+
+@pytest.mark.parametrize("start", ['<div class="content has-sidebar">', "<div class=layout-no-sidebar>", '<article class="post comments-open">', "<div class=with-share><article>", "<form id=aspnetForm>", "<form><fieldset><div class=ad-wrapper>", '<div class="banner">'])
+def test_marks_round_the_text_fall(start):
+    page = f"<body><nav><a href=/>Home</a></nav>{start}{INNER}"
+    assert extract(page).split("\n") == TEXT
+    assert extract(page + "<div class=comments><p>I like it, very much, thank you.</p></div>").split("\n") == TEXT
+
+
+def test_marks_beside_the_text_stand():
+    more = "<div class=comments>" + "<p>I like it, very much, thank you, really.</p>" * 40 + "</div>"
+    assert extract(f"<body><div>{INNER}</div>{more}").split("\n") == TEXT
+    assert extract(f"<body><article>{INNER}</article>{more}").split("\n") == TEXT
+    assert extract(f"<body><form><article>{INNER}<form><p>Your name, please.</p></form></article>{more}</form>").split("\n") == TEXT
+
+
+def test_many_marked_posts():
+    post = '<article class="post-comments"><p>A text with some words, and marks; of usual length.</p></article>'
+    assert extract(f"<body>{post * 5}").count("usual length") == 5
+
+
 def test_cut_off_pages():
     page = "<html><body><nav><a href='/'>x</a></nav><article><h1>Head</h1><p>Some words, here.</p><p>And the la"
     assert extract(page) == "Head\nSome words, here.\nAnd the la"
