@@ -5,8 +5,8 @@ the text lengths and the punctuation of its blocks are aggregated; the mean leng
 punctuation a block of a path, smoothed over neighbouring blocks in page order, are multiplied, and
 blocks whose path reaches a share of the fused ratios' standard deviation are content. The container
 that holds the content is then kept whole: headings and short paragraphs in it stay, and only blocks
-that are marked as something else (menus, adverts, forms, comments and so on) or are mere lists of
-links go. A class, id, role or form is only evidence: such a mark falls if nearly all content is under it.
+that are marked as something else (menus, adverts, forms, comments and so on) go. Mere links don't count
+when the container is sought, and stay out where none is found. A class, id, role or form is only evidence: such a mark falls if nearly all content is under it.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ class Element:
 class Text:
     element: Element
     parts: list = field(default_factory=list)
-    links: int = 0
+    linked: list = field(default_factory=list)
 
 
 def _says_noise(words: list[str]) -> bool:
@@ -124,7 +124,7 @@ def blocks_of(page: str) -> list[Text]:
                 out.append(current)
             current.parts.append(text)
             if links:
-                current.links += len(text.strip())
+                current.linked.append(text)
 
     while pos < n:
         m = _TAG.search(page, pos)
@@ -181,6 +181,10 @@ def blocks_of(page: str) -> list[Text]:
     return out
 
 
+def _plain(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
+
+
 def _content_paths(found: list[tuple[Text, str, int]]) -> set[str]:
     """The paths whose smoothed and fused ratios reach the threshold."""
     paths: dict[str, list[float]] = {}
@@ -241,7 +245,7 @@ def extract(page: str) -> str:
     """The page's main text: blocks in page order, one line each."""
     found = []
     for b in blocks_of(page):
-        text = " ".join(html.unescape("".join(b.parts)).split())
+        text = _plain(b.parts)
         if text:
             found.append((b, text, len(PUNCTUATION.findall(text))))
     if not found:
@@ -256,15 +260,15 @@ def extract(page: str) -> str:
     _weigh_marks(found, elements)
     content = _content_paths(found)
 
-    clean = [(b, t) for b, t, _ in found if not b.element.noise and b.links < LINK_SHARE * len(t)]
-    if any(b.element.main for b, _ in clean):
-        clean = [(b, t) for b, t in clean if b.element.main]
+    clean = [(b, t, bool(b.linked) and len(_plain(b.linked)) >= LINK_SHARE * len(t)) for b, t, _ in found if not b.element.noise]
+    if any(b.element.main and not mere for b, _, mere in clean):
+        clean = [c for c in clean if c[0].element.main]
     # the smallest container that holds the content
     mass: dict[int, int] = {}
     of: dict[int, Element] = {}
     children: dict[int, set[int]] = {}
-    for b, text in clean:
-        e, weight = b.element, len(text) * (b.element.path in content)
+    for b, text, mere in clean:
+        e, weight = b.element, len(text) * (b.element.path in content and not mere)
         while e is not None:
             mass[id(e)] = mass.get(id(e), 0) + weight
             of[id(e)] = e
@@ -289,7 +293,8 @@ def extract(page: str) -> str:
             e = e.parent
         return False
 
-    return "\n".join(t for b, t in clean if inside(b.element))
+    chosen = top is not None and (of[top].main or of[top].tag not in ("", "html", "body"))
+    return "\n".join(t for b, t, mere in clean if inside(b.element) and (chosen or b.element.main or not mere))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

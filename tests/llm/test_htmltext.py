@@ -59,6 +59,21 @@ def test_many_marked_posts():
     assert extract(f"<body>{post * 5}").count("usual length") == 5
 
 
+LINKED = '<h2><a href="/x">A linked heading</a></h2><ul><li><a href="/1">Source one</a><li><a href="/2">Source two</a></ul><table><tr><td><a href="/3">cell</a></td></tr></table><p><a href="/4">All of this sentence is a link.</a></p>'
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_links_in_the_text_stay(tag):
+    want = [*TEXT, "A linked heading", "Source one", "Source two", "cell", "All of this sentence is a link."]
+    page = f'<body><div><a href="/a">One</a> <a href="/b">Two</a></div><{tag}>{INNER}{LINKED}</{tag}>'
+    assert extract(page).split("\n") == want
+
+
+def test_link_share_is_of_decoded_text():
+    kept = "<p>Ab, cd <a href=/>&amp;&amp;&amp;   \n   &amp;</a></p>"
+    assert extract(f"<body>{kept}<p><a href=/>only a link</a></p>") == "Ab, cd &&& &"
+
+
 def test_cut_off_pages():
     page = "<html><body><nav><a href='/'>x</a></nav><article><h1>Head</h1><p>Some words, here.</p><p>And the la"
     assert extract(page) == "Head\nSome words, here.\nAnd the la"
