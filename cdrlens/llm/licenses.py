@@ -56,8 +56,13 @@ KNOWN = (
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
 
-#: A line that starts so names a holder, not terms.
-COPYRIGHT_LINE = r"^[ \t]*(?:copyright[ \t]|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that names a holder, not terms: copyright with (c), the sign or a year, or the reservation alone, after
+#: comment marks or none. Wrapped terms may begin a line with 'copyright notice' or 'copyright holder'.
+_SIGN, _YEAR = r"(?:\(c\)|©|&copy;)", r"(?:[0-9]{4}|[<\[{(]year[>\]})])"
+COPYRIGHT_LINE = (
+    r"^[ \t]*(?:(?:[#*;%!|>\"'-]+|//+[*!]?|/\*+|<!--|\(\*)[ \t]*)?"
+    rf"(?:copyright[ \t:]*(?:{_SIGN}|{_YEAR})[^\n]*|{_SIGN}[ \t]*(?:copyright\b|{_YEAR})[^\n]*|(?:©|&copy;)[^\n]*|all rights reserved[.!]?[ \t\r]*$)"
+)
 
 
 def canonical_words(text: Column) -> Column:

@@ -124,7 +124,7 @@ def _quoted(text: str) -> str:
 
 _CANONICAL = (
     "list_transform(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), "
-    + _quoted(f"(?im){licenses.COPYRIGHT_LINE}") + r", ' ', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: CASE w "
+    + _quoted(r"(?im)^[ \t]*(?:copyright[ \t]|\(c\)|©|all rights reserved)[^\n]*") + r", ' ', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: CASE w "
     + " ".join(f"WHEN {_quoted(a)} THEN {_quoted(b)}" for a, b in licenses.SPELLINGS) + " ELSE w END)"
 )
 

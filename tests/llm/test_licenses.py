@@ -1,3 +1,5 @@
+import textwrap
+
 from pyspark.sql import functions as F
 
 from cdrlens.llm import licenses
@@ -34,3 +36,24 @@ def test_own_licences_and_ties(spark):
 def test_known_forms_differ(spark):
     rows = licenses.known_licenses(spark).select("license_id", licenses.digest(F.col("text")).alias("d")).collect()
     assert len({r.d for r in rows}) == len(rows)
+
+
+def test_known_texts_at_wrap_widths(spark):
+    rows = []
+    for k, (name, text) in enumerate(licenses.KNOWN):
+        for width in (20, 30, 40, 50, 60, 66, 70, 72, 76, 78, 80, 100, 120):
+            lines = [w for part in text.split("\n") for w in textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False) or [""]]
+            for mark in ("", "# ", " * ", "// "):
+                head = [f"{mark}Copyright (c) 2020 Someone", f"{mark}All rights reserved.", ""]
+                rows.append((f"{k} {width} {mark}", name, "\n".join(head + [mark + x for x in lines])))
+    df = spark.createDataFrame(rows, "doc_id string, want string, text string")
+    got = {r.doc_id: r.license_id for r in licenses.matched(df).collect()}
+    assert [(d, got[d]) for d, want, _ in rows if got[d] != want] == []
+
+
+def test_copyright_lines(spark):
+    held = ["Copyright 2020 X", "copyright (c) X", "Copyright © X", "(c) 2020 X", "© X", "(C) Copyright X", "All Rights Reserved.", "# Copyright (c) 2020", " * Copyright: 2020 X", "/* Copyright (C) 2020 */", "Copyright [year] [name]"]
+    terms = ["copyright notice and this", "Copyright holder be liable", "(c) You must retain", "all rights reserved to others", "copyright law", "copyrighted 2020"]
+    df = spark.createDataFrame([(x, f"{x}\r\nterms") for x in held + terms], "doc_id string, text string")
+    got = {r.doc_id: r.n_words for r in licenses.matched(df).collect()}
+    assert [x for x in held if got[x] != 1] == [] and [x for x in terms if got[x] == 1] == []
