@@ -118,6 +118,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.matched(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.noticed(_table(spark, sf_dir, "documents"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -166,6 +170,7 @@ QUERIES = {
     "op6_token_index": op6_token_index,
     "op1_warc_reassembly": op1_warc_reassembly,
     "op2_license_scan": op2_license_scan,
+    "op2_license_lines": op2_license_lines,
     "op9_html_extraction": op9_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,

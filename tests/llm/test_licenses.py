@@ -1,5 +1,8 @@
+import re
 import textwrap
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from cdrlens.llm import licenses
@@ -57,3 +60,41 @@ def test_copyright_lines(spark):
     df = spark.createDataFrame([(x, f"{x}\r\nterms") for x in held + terms], "doc_id string, text string")
     got = {r.doc_id: r.n_words for r in licenses.matched(df).collect()}
     assert [x for x in held if got[x] != 1] == [] and [x for x in terms if got[x] == 1] == []
+
+
+def spans(df, known=None):
+    return sorted((r.doc_id, r.start_word, r.n_words, r.license_id) for r in licenses.noticed(df, known).collect())
+
+
+def test_runs_of_lines(spark):
+    mit = licenses.KNOWN[1][1]
+    wrapped = "\r\n".join("# " + x for part in mit.split("\n") for x in textwrap.wrap(part, 50) or [""])
+    texts = {
+        1: "Some words first.\nReleased under the MIT licence.", 2: f"def f():\n\n{wrapped}\n\nand more", 3: "Released under the MIT License. Not a whole line.", 4: None, 5: "", 6: "\n\n",
+        7: "Licensed under\nCC BY-NC 4.0.\nReleased under the MIT License.", 8: "MIT License\n" + mit,
+    }
+    df = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string")
+    n = len(re.findall(r"\w+", mit))
+    assert spans(df) == [(1, 3, 5, "MIT"), (1, 3, 5, "MIT"), (2, 2, n, "MIT"), (7, 0, 7, "CC-BY-NC-4.0"), (7, 7, 5, "MIT"), (8, 0, n + 2, "MIT"), (8, 2, n, "MIT")]
+    known = spark.createDataFrame([("B", "noncommercial use"), ("A", "Non-commercial\nuse"), (None, "x"), ("C", "...")], "license_id string, text string")
+    rows = spark.createDataFrame([(1, "x\nnoncommercial\nuse")], "doc_id long, text string")
+    assert spans(rows, known) == [(1, 1, 3, "A")] and spans(rows, known.limit(0)) == [] and spans(df.limit(0)) == []
+    plan = licenses.noticed(df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_given_notices(spark):
+    """The lines of the documents that equal a known text, found by splitting them here."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    short = {" ".join(t.lower().split()): i for i, t in licenses.KNOWN if "\n" not in t and len(t) < 100}
+    want = sorted((r.doc_id, short[x]) for r in docs.collect() for x in (" ".join(y.lower().split()) for y in (r.text or "").split("\n")) if x in short)
+    assert len(want) == 39 and [(s[0], s[3]) for s in spans(docs)] == want
+
+
+@pytest.mark.parametrize("name,file", [("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("LGPL-2.1-only", "LGPL-2.1")])
+def test_whole_licences(spark, name, file):
+    path = Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    df = spark.createDataFrame([(1, "Terms:\n" + path.read_text(errors="replace"))], "doc_id long, text string")
+    assert (1, 1, {w[0]: w[1] for w in licenses.WHOLE}[name], name) in spans(df)
