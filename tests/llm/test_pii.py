@@ -59,6 +59,23 @@ def test_checksums_and_context():
     assert pii.find("server 10.0.0.1")[0][3] > pii.find("x 10.0.0.1")[0][3]
 
 
+def test_ibans_before_other_words():
+    for iban in ("BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"):
+        for form in (iban, iban.replace(" ", "")):
+            for after in ("", " BIC KREDBEBB", " BIC", " AND", " 2024", " A", ".", ", 12", "\n12"):
+                assert [x[1:3] for x in pii.find(f"IBAN {form}{after}") if x[0] == "iban"] == [(5, 5 + len(form))], (form, after)
+                text = f"IBAN {form}{after}"
+                assert pii.redact(text, [x for x in pii.find(text) if x[0] == "iban"]) == f"IBAN [IBAN]{after}"
+            assert not [x for x in pii.find(f"IBAN {form}7") if x[0] == "iban"]
+
+
+def test_iban_of_a_country_not_listed():
+    body = "0011 2233 4455 6677 8899 0011"
+    check = 98 - int("".join(str(int(c, 36)) for c in body.replace(" ", "") + "MA00")) % 97
+    iban = f"MA{check:02d} {body}"
+    assert [x[1:3] for x in pii.find(f"IBAN {iban} BIC") if x[0] == "iban"] == [(5, 5 + len(iban))]
+
+
 def test_long_runs_are_linear():
     assert pii.find("a" * 300_000 + "@" + "1" * 300_000 + ".") == []
 
