@@ -24,7 +24,7 @@ from .sources.adapters import Adapted, duck_with
 RUN = "run-A"
 RULES = Rules(max_kmh=adapters.SPEED_KMH)
 PLANE = Plane(adapters.ORIGIN_LAT, adapters.ORIGIN_LON)
-SETTINGS = Settings(adapters.ORIGIN_LAT, adapters.ORIGIN_LON, grid_m=250.0)
+SETTINGS = Settings(adapters.ORIGIN_LAT, adapters.ORIGIN_LON, grid_m=50.0)
 BOX = service.Box(39.05, 38.05, 39.35, 38.3)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

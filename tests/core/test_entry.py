@@ -68,3 +68,8 @@ def test_entry_without_the_text_operators(tmp_path):
 def test_flagship(spark):
     rows = queries.flagship(spark, SF).collect()
     assert len(rows) == 20 and {r.verdict for r in rows} >= {"out of scope"}
+
+
+def test_lattice_of_the_registered_estimation():
+    """The reference's urban configurations use 50 m; its LTE timing advance has rings of 78 m."""
+    assert queries.SETTINGS.grid_m == 50.0
