@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, with_text_columns
+from .runtime import Scratch, unused, with_text_columns
 from .words import HashTable, mix64, sequence_hash, windows
 
 SHINGLE_WORDS = 5
@@ -305,8 +305,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_RO
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all columns; of repeated rows one."""
-    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    key = F.xxhash64("text")
-    own = docs.withColumn("_own_key", key)
-    out = own.join(kept, own.doc_id.eqNullSafe(kept._d) & (own._own_key == kept._k), "left_semi")
-    return out.dropDuplicates(["doc_id", "_own_key"]).drop("_own_key")
+    d, k, own_key = (unused(docs, n) for n in ("kept_doc", "kept_key", "own_key"))
+    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias(d), F.col("text_key").alias(k)).distinct()
+    own = docs.withColumn(own_key, F.xxhash64("text"))
+    out = own.join(kept, own.doc_id.eqNullSafe(kept[d]) & (own[own_key] == kept[k]), "left_semi")
+    return out.dropDuplicates(["doc_id", own_key]).drop(own_key)

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .runtime import with_text_columns
+from .runtime import unused, with_text_columns
 from .words import RaggedTable, ragged
 
 BLANK = "▁"
@@ -84,6 +84,8 @@ class Model:
                 fields = dict(_message(value))
                 self.charsmap = fields.get(2, b"")
                 self.dummy_prefix, self.strip_blanks = bool(fields.get(3, 1)), bool(fields.get(4, 1))
+        if _USER in self.kinds:
+            raise ValueError("the model has user-defined pieces, which are matched before all merges: not compiled")
         if kind != 2 or not fallback or self.charsmap or self.strip_blanks or not self.dummy_prefix:
             raise ValueError("only BPE models with byte fallback and an identity normaliser that adds a blank in front are compiled")
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
@@ -293,12 +295,12 @@ def decoded(rows: DataFrame, model_file: str) -> DataFrame:
     """``rows`` with ``text`` decoded from ``ids`` (null ids: null text)."""
     from pyspark.sql import functions as F
 
-    ids = F.transform("ids", lambda i: i.cast("string"))
-    joined = rows.withColumn("_ids", F.concat_ws(" ", F.when(F.col("ids").isNotNull(), ids)))
+    ids, joined_ids = F.transform("ids", lambda i: i.cast("string")), unused(rows, "joined_ids")
+    joined = rows.withColumn(joined_ids, F.concat_ws(" ", F.when(F.col("ids").isNotNull(), ids)))
 
     def make():
         codec = codec_of(model_file)
         return lambda lists: {"text": [codec.decode([int(i) for i in x.split()]) for x in lists]}
 
-    out = with_text_columns(joined, make, "text string", "_ids", drop_text=True)
+    out = with_text_columns(joined, make, "text string", joined_ids, drop_text=True)
     return out.withColumn("text", F.when(F.col("ids").isNotNull(), F.col("text")))

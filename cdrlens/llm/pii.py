@@ -1,7 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Base kinds (email, ip, card, phone) stand as soon as their own test passes; kinds that the method adds
-(iban by its mod-97 remainder, pan for shorter card numbers) need a score of ``THRESHOLD``.
+Base kinds (email, ip, card, phone) stand as soon as their own test passes; their score is told. Kinds that
+the method adds need a score of ``THRESHOLD``: an iban (mod-97) of a listed country and a secret with a known
+prefix have it by themselves; an iban of another country, a shorter card number (pan), a social security
+number and a bare key or token have it only with a word around that speaks for them and none against.
 """
 
 from __future__ import annotations
@@ -11,23 +13,35 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import with_text_columns
+from .runtime import unused, with_text_columns
 
-KINDS = ("email", "ip", "card", "phone", "iban", "pan")
-#: Score of a confirmed span, what a context word adds, how far around it is looked for, and the score
-#: that a span of an added kind needs.
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "pan": 0.5}
-CONTEXT_GAIN, CONTEXT_CHARS, THRESHOLD = 0.3, 48, 0.7
-#: Words that speak for a kind.
+KINDS = ("email", "ip", "card", "phone", "iban", "pan", "ssn", "secret")
+#: Score of a confirmed span, what a context word adds or takes, how far around it is looked for, and the
+#: score that a span of an added kind needs. ``SURE`` is the score of an added span that needs no context.
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.5, "pan": 0.5, "ssn": 0.5, "secret": 0.5}
+CONTEXT_GAIN, CONTEXT_LOSS, CONTEXT_CHARS, THRESHOLD, SURE = 0.3, 0.3, 48, 0.7, 1.0
+_CARD_WORDS = ("card", "visa", "mastercard", "amex", "credit", "debit", "payment", "karte", "kreditkarte", "carte", "tarjeta", "carta")
+#: Words that speak for a kind, in English, German, French, Spanish and Italian.
 CONTEXT = {
-    "email": ("mail", "contact", "write", "reply"),
-    "ip": ("ip", "host", "server", "address", "login"),
-    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "transfer"),
-    "pan": ("card", "visa", "mastercard", "amex", "credit", "debit", "payment"),
+    "email": ("mail", "e-mail", "email", "contact", "write", "reply", "kontakt", "courriel", "correo", "contacto"),
+    "ip": ("ip", "host", "server", "address", "login", "adresse", "serveur", "servidor", "dirección"),
+    "card": _CARD_WORDS,
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "handy", "téléphone", "teléfono", "móvil"),
+    "iban": ("iban", "account", "bank", "transfer", "konto", "überweisung", "compte", "banque", "cuenta", "banco", "conto"),
+    "pan": _CARD_WORDS,
+    "ssn": ("ssn", "social security", "tax id", "taxpayer", "sozialversicherung", "sécurité sociale", "seguridad social", "seguro social"),
+    "secret": ("token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "credential", "bearer", "auth", "schlüssel", "passwort", "kennwort", "jeton", "clé", "mot de passe", "clave", "contraseña"),
 }
-_CONTEXT = {k: re.compile(r"\b(?:" + "|".join(v) + r")s?\b", re.IGNORECASE) for k, v in CONTEXT.items()}
+_NUMBERED = ("order", "invoice", "isbn", "tracking", "serial", "part number", "bestellung", "rechnung", "commande", "facture", "pedido", "factura")
+#: Words that speak against a kind.
+AGAINST = {"iban": _NUMBERED, "pan": _NUMBERED, "ssn": _NUMBERED, "secret": ("commit", "sha1", "sha256", "sha-1", "sha-256", "md5", "checksum", "digest", "hash", "revision", "etag")}
+
+
+def _any_of(words: tuple) -> re.Pattern:
+    return re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, words)) + r")s?(?![^\W\d_])", re.IGNORECASE)
+
+
+_CONTEXT, _AGAINST = ({k: _any_of(v) for k, v in x.items()} for x in (CONTEXT, AGAINST))
 
 #: Characters of an IBAN by its country code (the IBAN registry).
 IBAN_LENGTHS = {
@@ -49,6 +63,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 _IBAN_NEXT = re.compile(r"\x20?[A-Z0-9]")
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+#: How keys of well-known services begin.
+_KNOWN_KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}")
+#: Digits and distinct characters that a key has at least: words and paths have fewer.
+KEY_DIGITS, KEY_VARIETY = 4, 10
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DOUBLED = str.maketrans("0123456789", "0246813579")
 
@@ -106,9 +126,22 @@ def _addresses(text: str):
                 yield run.start() + four[0].start(), run.start() + four[3].end()
 
 
-def _score(text: str, kind: str, start: int, end: int) -> float:
+def _keys(text: str):
+    for m in _KEY.finditer(text):
+        whole = m.group()
+        known = _KNOWN_KEY.fullmatch(whole) is not None
+        if known or sum(map(str.isdecimal, whole)) >= KEY_DIGITS and len(set(whole)) >= KEY_VARIETY and any(map(str.isalpha, whole)):
+            yield m.start(), m.end(), known
+
+
+def _score(text: str, kind: str, start: int, end: int, sure: bool = False) -> float:
     near = text[max(0, start - CONTEXT_CHARS) : start] + " \n " + text[end : end + CONTEXT_CHARS // 2]
-    return min(1.0, BASE_SCORE[kind] + (CONTEXT_GAIN if _CONTEXT[kind].search(near) else 0.0))
+    score = SURE if sure else BASE_SCORE[kind]
+    if _CONTEXT[kind].search(near):
+        score += CONTEXT_GAIN
+    if kind in _AGAINST and _AGAINST[kind].search(near):
+        score -= CONTEXT_LOSS
+    return round(min(1.0, max(0.0, score)), 6)
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
@@ -125,11 +158,13 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text) if "+" in text else ():
             if 8 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
                 found["phone"].append(m.span())
-        found["iban"] += _ibans(text)
+        found["iban"] += ((a, b, text[a : a + 2] in IBAN_LENGTHS) for a, b in _ibans(text))
+        found["ssn"] += (m.span() for m in _SSN.finditer(text))
+        found["secret"] += _keys(text)
     out = []
     for kind in KINDS:
-        for start, end in found[kind]:
-            score = _score(text, kind, start, end)
+        for start, end, *sure in found[kind]:
+            score = _score(text, kind, start, end, any(sure))
             if kind in KINDS[:4] or score >= THRESHOLD:
                 out.append((kind, start, end, score))
     return out
@@ -163,13 +198,15 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by its kind; all other columns stay (null: null)."""
+    """``docs`` with personal data in ``text`` replaced by its kind; all other columns stay, whatever their
+    names (null: null)."""
 
     def make():
         def call(texts):
             plain = [None if t is None else t.decode() for t in texts]
-            return {"_clear": [t and redact(t, find(t)) for t in plain]}
+            return {clear: [t and redact(t, find(t)) for t in plain]}
 
         return call
 
-    return with_text_columns(docs, make, "_clear string").withColumn("text", F.col("_clear")).drop("_clear")
+    clear = unused(docs, "clear")
+    return with_text_columns(docs, make, f"{clear} string").withColumn("text", F.col(clear)).drop(clear)

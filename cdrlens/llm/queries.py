@@ -94,8 +94,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s.kind.isin(*pii.KINDS[:4]))
     kinds = F.transform("spans", lambda s: s.kind)
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    scores = F.concat_ws(",", F.transform("spans", lambda s: F.format_string("%.2f", s.score)))
+    return found.select(
+        "doc_id", *counts[:4], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        scores.alias("scores"), *counts[4:], F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

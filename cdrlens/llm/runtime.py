@@ -25,11 +25,13 @@ _scratch_roots: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark not in _scratch_roots:
         _scratch_roots[spark] = tempfile.mkdtemp(prefix="cdrlens-")
     return _scratch_roots[spark]
@@ -89,6 +91,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text each, or of one row."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
