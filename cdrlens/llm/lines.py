@@ -23,10 +23,12 @@ _IS_UPPER, _IS_LOWER = _lut(bytes(range(65, 91))), _lut(bytes(range(97, 123)))
 _IS_DIGIT, _IS_BANG, _IS_PIPE, _IS_PUNCT, _IS_END = _lut(b"0123456789"), _lut(b"!"), _lut(b"|"), _lut(b".,;:?"), _lut(b".?!\"')")
 _STARTS_CHAR = np.array([not 128 <= c < 192 for c in range(256)])
 
+#: Words from which a line without a sentence's end is no fragment.
+FRAGMENT_WORDS = 8
 #: Names of a line's own features; all are between 0 and about 2.
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper_share", "digit_share", "symbols_a_word", "bangs_a_word",
-    "pipes_a_word", "punctuation_a_word", "ends_sentence", "duplicate", "repeated_words", "blank", "short_words",
+    "pipes_a_word", "punctuation_a_word", "ends_sentence", "duplicate", "repeated_words", "blank", "short_words", "fragment",
 )
 
 
@@ -115,6 +117,7 @@ def lines_of(texts: list, hashes: HashTable) -> Lines:
             np.log1p(chars) / 6, np.log1p(words) / 4, word_chars / w / 8, upper / np.maximum(upper + lower, 1), total(_IS_DIGIT[x]) / c,
             np.minimum(symbols / w, 2), np.minimum(total(_IS_BANG[x]) / w, 2), np.minimum(total(_IS_PIPE[x]) / w, 1),
             np.minimum(total(_IS_PUNCT[x]) / w, 1), last, duplicate, repeated / w, words == 0, short / w,
+            np.where(last | (words == 0), 0, np.maximum(1 - words / FRAGMENT_WORDS, 0)),
         ], axis=1,
     )
     return Lines(first, chars, words, word_chars, symbols, duplicate, repeated, np.minimum(features, 2.0))
@@ -151,34 +154,36 @@ def viterbi(scores: np.ndarray, transition: np.ndarray, first: np.ndarray) -> np
     return label
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def marginals(scores: np.ndarray, transition: np.ndarray, first: np.ndarray, pairs: bool = False):
     """Forward-backward: each line's probabilities (lines, 2); with ``pairs`` also the expected number of
     each transition and the sum of the log partition functions."""
-    start, n, active = _steps(first)
-    forward, backward = np.empty_like(scores), np.zeros_like(scores)
-    for t, k in enumerate(active):
-        at = start[:k] + t
-        forward[at] = scores[at] + (_logsum(forward[at - 1][:, :, None] + transition, 1) if t else 0)
-    for t in range(len(active) - 2, -1, -1):
-        k = active[t + 1]
-        at = start[:k] + t
-        backward[at] = _logsum(transition + (scores[at + 1] + backward[at + 1])[:, None, :], 2)
-    total = np.zeros(len(first) - 1)
-    total = _logsum(forward[first[1:] - 1], 1)
+    start, _, active = _steps(first)
+    add, t = np.logaddexp, transition
+    forward, backward = scores.T.copy(), np.zeros((2, len(scores)))
+    bad, good = forward
+    for step, k in enumerate(active):
+        if step:
+            at = start[:k] + step
+            from_bad, from_good = bad[at - 1], good[at - 1]
+            bad[at] += add(from_bad + t[0, 0], from_good + t[1, 0])
+            good[at] += add(from_bad + t[0, 1], from_good + t[1, 1])
+    for step in range(len(active) - 2, -1, -1):
+        at = start[: active[step + 1]] + step
+        to_bad, to_good = scores[at + 1, 0] + backward[0, at + 1], scores[at + 1, 1] + backward[1, at + 1]
+        backward[0, at] = add(t[0, 0] + to_bad, t[0, 1] + to_good)
+        backward[1, at] = add(t[1, 0] + to_bad, t[1, 1] + to_good)
+    last = first[1:] - 1
+    total = add(bad[last], good[last])
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    p = np.exp(forward + backward - total[of, None])
+    p = np.exp(forward + backward - total[of]).T
     if not pairs:
         return p
     inner = np.ones(len(scores), bool)
-    inner[first[1:] - 1] = False
+    inner[last] = False
     i = np.nonzero(inner)[0]
-    both = forward[i][:, :, None] + transition + (scores[i + 1] + backward[i + 1])[:, None, :] - total[of[i], None, None]
-    return p, np.exp(both).sum(axis=0), float(total.sum())
+    after = scores[i + 1].T + backward[:, i + 1]
+    both = [[np.exp(forward[x, i] + t[x, y] + after[y] - total[of[i]]).sum() for y in (0, 1)] for x in (0, 1)]
+    return p, np.array(both), float(total.sum())
 
 
 def with_neighbours(features: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -2,6 +2,11 @@
 
 The field's weights are fixed rules, stated below. Viterbi decoding gives the best sequence of labels;
 a document stays if content lines hold ``CONTENT_SHARE`` of its word characters and the base rules pass.
+
+A line alone often doesn't tell: a few words without a sentence's end are a heading between paragraphs and
+a menu's entry among others of their kind. Their own score is a little below zero, so the lines around
+decide: to leave a run of content costs what two changes of label cost, which one fragment doesn't outweigh
+and several do; likewise a short sentence amid boilerplate is boilerplate.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 CONTENT_SHARE = 0.5
 #: What speaks for content (positive) or boilerplate (negative) in a line.
-BIAS = 2.0
+BIAS = 1.0
 WEIGHTS = {
     "symbols_a_word": -5.0,
     "bangs_a_word": -3.0,
@@ -28,7 +33,8 @@ WEIGHTS = {
     "repeated_words": -1.5,
     "ends_sentence": 1.0,
     "punctuation_a_word": 1.0,
-    "short_words": 1.0,
+    "short_words": 0.5,
+    "fragment": -3.2,
 }
 #: Score of passing from one label to the next line's: [boilerplate, content] to [boilerplate, content].
 TRANSITION = ((0.8, -0.8), (-0.8, 0.8))

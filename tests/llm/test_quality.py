@@ -1,5 +1,8 @@
 import itertools
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -8,6 +11,7 @@ from hypothesis import strategies as st
 from cdrlens.llm import lines as ln
 from cdrlens.llm import quality_classifier as qc
 from cdrlens.llm import quality_rules as qr
+from cdrlens.llm.queries import op4_quality_rules, op5_quality_classifier
 from cdrlens.llm.words import HashTable
 
 
@@ -18,7 +22,8 @@ def brute_counts(text):
         dup += line in seen and bool(re.search(r"[^\x20\x09-\x0D]", line))
         seen.add(line)
     windows = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
-    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    times = Counter(windows)
+    hit = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
 
 
@@ -63,6 +68,128 @@ def test_decoding_like_enumeration(sequences, t):
     assert np.allclose(pairs, want_pairs) and abs(logz - want_z) < 1e-9
 
 
+def brute_features(text):
+    """A text's line features by their definitions, one line at a time."""
+    rows, words_before, all_words, seen = [], 0, [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w], set()
+    windows = [tuple(all_words[i : i + 3]) for i in range(len(all_words) - 2)]
+    times = Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
+    for line in text.split("\n"):
+        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
+        w, c = max(len(ws), 1), max(len(line), 1)
+        count = lambda chars, line=line: sum(x in chars for x in line)
+        upper, lower = sum("A" <= x <= "Z" for x in line), sum("a" <= x <= "z" for x in line)
+        ends = bool(ws) and ws[-1][-1] in ".?!\"')"
+        rows.append([
+            math.log1p(len(line)) / 6, math.log1p(len(ws)) / 4, sum(map(len, ws)) / w / 8, upper / max(upper + lower, 1), count("0123456789") / c,
+            count("#*$%&|<>") / w, count("!") / w, min(count("|") / w, 1), min(count(".,;:?") / w, 1), ends, bool(ws) and line in seen,
+            len([i for i in range(words_before, words_before + len(ws)) if i in repeated]) / w, not ws, sum(len(x.encode()) <= 3 for x in ws) / w,
+            0 if ends or not ws else max(1 - len(ws) / 8, 0),
+        ])
+        seen.add(line)
+        words_before += len(ws)
+    return [[min(float(x), 2.0) for x in r] for r in rows]
+
+
+def brute_viterbi(scores, transition):
+    """Best labels by comparing prefixes that end in each label; a tie goes to the smaller label before."""
+    best = [(scores[0][y], [y]) for y in (0, 1)]
+    for s in scores[1:]:
+        best = [max(((best[x][0] + transition[x][y] + s[y], [*best[x][1], y]) for x in (0, 1)), key=lambda b: b[0]) for y in (0, 1)]
+    return max(best, key=lambda b: b[0])[1]
+
+
+def brute_marginals(scores, transition):
+    """Chances of label 1 by sums over prefixes and suffixes, in plain numbers scaled a line."""
+    forward, backward = [], [[1.0, 1.0]]
+    for i, s in enumerate(scores):
+        f = [math.exp(s[y]) * (sum(forward[-1][x] * math.exp(transition[x][y]) for x in (0, 1)) if i else 1) for y in (0, 1)]
+        forward.append([v / sum(f) for v in f])
+    for s in scores[:0:-1]:
+        b = [sum(math.exp(transition[x][y] + s[y]) * backward[0][y] for y in (0, 1)) for x in (0, 1)]
+        backward.insert(0, [v / sum(b) for v in b])
+    return [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward, strict=True)]
+
+
+def brute_kept(text, transition=None):
+    n, _, _, _, rep = brute_counts(text)
+    rows = brute_features(text)
+    scores = [(0.0, qr.BIAS + sum(qr.WEIGHTS.get(f, 0.0) * x for f, x in zip(ln.FEATURES, r, strict=True))) for r in rows]
+    labels = brute_viterbi(scores, transition or qr.TRANSITION)
+    chars = [len(re.sub(r"[\x20\x09-\x0D]+", "", line)) for line in text.split("\n")]
+    share = sum(c for c, y in zip(chars, labels, strict=True) if y) / max(sum(chars), 1)
+    return not (n < 50 or 100 * rep > 50 * n) and share >= qr.CONTENT_SHARE
+
+
+def brute_score(text, model):
+    weight, transition = model
+    rows = brute_features(text)
+    none = [0.0] * len(ln.FEATURES)
+    scores = []
+    for i, r in enumerate(rows):
+        x = [*r, *(rows[i - 1] if i else none), *(rows[i + 1] if i + 1 < len(rows) else none), 1.0]
+        s = sum(a * b for a, b in zip(x, weight, strict=True))
+        scores.append((-s / 2, s / 2))
+    p, size = brute_marginals(scores, transition), [len(line) + 1 for line in text.split("\n")]
+    return sum(a * b for a, b in zip(p, size, strict=True)) / sum(size)
+
+
+def test_whole_queries_like_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op4_quality_rules(spark, sf).collect()
+    assert len(got) == len(texts) and all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(texts[r.doc_id]) and r.kept == brute_kept(texts[r.doc_id]) for r in got)
+    model = qc.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in op5_quality_classifier(spark, sf).collect():
+        assert abs(r.score - brute_score(texts[r.doc_id], model)) < 1e-6 and r.predicted == (r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("aB1.!|# \n\té日", max_size=200))
+def test_features_like_brute_force(text):
+    assert np.allclose(ln.lines_of([text.encode()], HashTable()).features, brute_features(text))
+
+
+def _invented(rng, n):
+    return ["".join(chr(97 + c) for c in rng.integers(0, 26, k)) for k in rng.integers(4, 9, n)]
+
+
+def _sentence(rng, n=12):
+    return " ".join(_invented(rng, n)).capitalize() + "."
+
+
+def test_the_chain_decides_verdicts(monkeypatch):
+    rng = np.random.default_rng(5)
+    title = lambda n: " ".join(_invented(rng, n)).title()
+    headed = "\n".join(line for _ in range(14) for line in (title(6), _sentence(rng, 5)))  # headings longer than their sentences
+    teasers = "\n".join(line for _ in range(12) for line in (title(1), title(1), _sentence(rng, 5)))  # a page of entries and teasers
+    texts = [headed, teasers]
+    verdicts = lambda: [bool(k) for k in qr.judge([t.encode() for t in texts], HashTable())["kept"]]
+    assert verdicts() == [True, False] == [brute_kept(t) for t in texts]
+    monkeypatch.setattr(qr, "TRANSITION", ((0, 0), (0, 0)))
+    assert verdicts() == [False, True]
+
+
+def test_the_chain_decides_scores():
+    """Documents whose lines are alike but for the first: what it tells reaches the rest by the chain alone."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(6, 12, 200)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    labels = np.arange(200) % 2
+    features = np.zeros((first[-1], len(ln.FEATURES)))
+    features[:, 0] = 0.8
+    features[first[:-1], 5] = np.where(labels == 1, 0.0, 2.0)
+    model = qc.fit(features, first, labels, np.full(first[-1], 100))
+
+    def right(transition):
+        s = qc._scores(ln.with_neighbours(features, first), model[0])
+        p = np.add.reduceat(ln.marginals(s, transition, first)[:, 1], first[:-1]) / sizes
+        return ((p >= qc.PREDICT_AT) == (labels == 1)).mean()
+
+    assert right(model[1]) == 1.0 and right(np.zeros((2, 2))) < 0.6
+
+
 GOOD = "The thing that was here is of the kind, and it was good for all of them. " * 6
 JUNK = "Stuff### buy$$$ now%%% more&&& offers### cheap*** deals$$$ today%%% only&&& here### " * 8
 SHOUT = "\n".join(" ".join(f"WORD{i}{k}!!" for k in range(10)) for i in range(8))
@@ -86,6 +213,22 @@ def test_rules_on_tables(spark):
     assert qr.kept(df).count() == 0 and qr.kept(df).columns == df.columns and qr.judged(df.limit(0)).count() == 0
 
 
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(3)
+    text = "\n".join(_sentence(rng) for _ in range(60_000))
+    got = qr.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_words == 12 * 60_000 and got.kept
+
+
+def test_the_sample_does_not_depend_on_partitions(spark):
+    rows = [(k % 40, f"{_sentence(np.random.default_rng(k))}\n" * (k % 3 + 1)) for k in range(120)]  # three texts a doc_id
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    frames = [spark.createDataFrame(x, "doc_id long, text string").repartition(n) for x, n in ((rows, 1), (rows[::-1], 7))]
+    one, other = (sorted(map(tuple, qc._chosen(f, labels, 20, 1000, 1 << 20).collect())) for f in frames)
+    assert one == other and len(one) == 20
+    assert len(qc._chosen(frames[0], labels, 20, 5, 1 << 20).collect()) <= 5
+
+
 def test_good_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
