@@ -3,7 +3,9 @@
 A record's block longer than ``segment_bytes`` is split: the first segment keeps the record's type, the
 others are continuation records that name their origin and number, the last also the total length. The
 reader groups segments by origin, orders them by number, verifies that numbers are complete and that the
-lengths add up to the total, and takes the HTTP body out of its chunked transfer framing.
+lengths add up to the total, and takes the HTTP body out of its chunked transfer framing. Each record is a
+gzip member of its own. What is no whole record is told as such, with the reason, and reading goes on at
+the next record; no input makes it fail or loop.
 
 Files are written and read by Spark's own writers and readers, so they may be in any store that Spark
 reaches; their commit protocol leaves one copy of each file when tasks are repeated.
@@ -11,10 +13,11 @@ reaches; their commit protocol leaves one copy of each file when tasks are repea
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +31,18 @@ CHUNK_BYTES = 4 << 10
 FILE_RECORDS = 10_000
 #: Payloads under so many bytes are always stored themselves.
 REVISIT_BYTES = 100
+#: Bytes that a gzip member is inflated from at once, and the most that one read of a block asks for.
+INFLATED_BYTES, READ_BYTES = 64 << 10, 1 << 20
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: The size of a chunk: sixteen hexadecimal digits at most, and nothing else that a number could begin with.
+_CHUNK_HEAD = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,16})[ \t]*(?:;[^\r\n]*)?\r\n")
+_NUMBER = re.compile(r"[0-9]{1,18}")
+
+
 def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
     parts = [b"%x\r\n%b\r\n" % (len(body[i : i + size]), body[i : i + size]) for i in range(0, len(body), size)]
     return b"".join([*parts, b"0\r\n\r\n"])
@@ -41,21 +51,15 @@ def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
 def dechunked(framed: bytes) -> bytes | None:
     """The body in chunked framing (extensions and trailers are passed over); ``None`` if it is broken."""
     out, at = [], 0
-    while True:
-        end = framed.find(b"\r\n", at)
-        if end < 0:
-            return None
-        try:
-            n = int(framed[at:end].split(b";")[0].strip(), 16)
-        except ValueError:
-            return None
+    while (m := _CHUNK_HEAD.match(framed, at)) is not None:
+        at, n = m.end(), int(m[1], 16)
         if n == 0:
             return b"".join(out)
-        at = end + 2
         if framed[at + n : at + n + 2] != b"\r\n":
             return None
         out.append(framed[at : at + n])
         at += n + 2
+    return None
 
 
 def payload_of(block: bytes) -> bytes | None:
@@ -75,7 +79,8 @@ def records_of(kind: str, record_id: str, fields: list[tuple[str, str]], block:
     pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)] or [b""]
     for k, piece in enumerate(pieces, 1):
         own = record_id if k == 1 else f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{record_id}#{k}')}>"
-        out = [("WARC-Type", kind if k == 1 else "continuation"), ("WARC-Record-ID", own), *(fields if k == 1 else [])]
+        out = [("WARC-Type", kind if k == 1 else "continuation"), ("WARC-Record-ID", own)]
+        out += [f for f in fields if k == 1 or f[0] in ("WARC-Date", "WARC-Target-URI")]
         if len(pieces) > 1:
             out.append(("WARC-Segment-Number", str(k)))
             if k > 1:
@@ -85,13 +90,21 @@ def records_of(kind: str, record_id: str, fields: list[tuple[str, str]], block:
         yield _header([*out, ("Content-Length", str(len(piece)))]) + piece
 
 
+def member(record: bytes) -> bytes:
+    """A record and the two line ends after it as one gzip member."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.compress(b"\r\n\r\n") + packer.flush()
+
+
 def write(records: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """Write ``records`` as gzipped WARC files into the folder ``path``.
+    """Write ``records`` as WARC files into the folder ``path``, each record a gzip member of its own.
 
     Columns: record_id, record_type (response or revisit), refers_to, digest (strings), fields (map of
     further header fields) and payload (binary; unused in revisits; null: empty). Null strings and null
     fields are left out.
     """
+    if not 0 < segment_bytes < 1 << 23:
+        raise ValueError("segments have 1 byte to 8 MB")
     ship(records.sparkSession)
     sent = records.select("record_id", "record_type", "refers_to", "digest", "fields", "payload")
 
@@ -112,8 +125,10 @@ def write(records: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, fil
                 else:
                     block += b"Transfer-Encoding: chunked\r\n\r\n" + chunked(r["payload"] or b"")
                 for one in records_of(r["record_type"], r["record_id"], fields, block, segment_bytes):
-                    out.append(one)
-                    size += len(one)
+                    # a member ends with its length in four bytes, least first: under 16 MB the last is 0, which the
+                    # writer of lines puts there
+                    out.append(member(one)[:-1])
+                    size += len(out[-1])
                 if size > SLICE_BYTES:
                     yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
                     out, size = [], 0
@@ -121,39 +136,104 @@ def write(records: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, fil
                 yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
 
     rows = sent.mapInArrow(work, "record binary").select(F.col("record").cast("string").alias("value"))
-    writer = rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    writer.option("maxRecordsPerFile", file_records).text(path)
+    rows.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", file_records).text(path)
 
 
-def parse(stream) -> Iterator[tuple[dict, bytes]]:
-    """Header fields (names in lower case) and block of each record in a stream of plain bytes."""
-    while True:
-        line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
-        if not line:
-            return
+class Inflated(io.RawIOBase):
+    """The plain bytes of gzip members laid end to end; a member that is broken ends where it breaks, and what
+    follows it up to the next member is passed over. Bytes that aren't gzip at all are taken as they are."""
+
+    def __init__(self, content):
+        self.content, self.at, self.ready = memoryview(content), 0, b""
+        self.unpacker = None
+        self.plain = bytes(self.content[:2]) != b"\x1f\x8b"
+        self.broken = 0
+
+    def readable(self) -> bool:
+        return True
+
+    def _next(self) -> bytes:
+        piece = self.content[self.at : self.at + INFLATED_BYTES]
+        self.at += len(piece)
+        if self.plain:
+            return bytes(piece)
+        if self.unpacker is None:
+            self.unpacker = zlib.decompressobj(31)
+        try:
+            out = self.unpacker.decompress(piece)
+        except zlib.error:
+            self.broken += 1
+            self.unpacker = None
+            # the member begins in this piece or before; go on after its start, where the next one may be
+            found = bytes(self.content[self.at - len(piece) + 1 : self.at + 2]).find(b"\x1f\x8b\x08")
+            if found >= 0:
+                self.at = self.at - len(piece) + 1 + found
+            return b"\r\n"
+        if self.unpacker.eof:
+            rest = self.unpacker.unused_data.lstrip(b"\0")
+            self.at -= len(rest)
+            self.unpacker = None
+        return out
+
+    def readinto(self, buffer) -> int:
+        while not self.ready and self.at < len(self.content):
+            self.ready = self._next()
+        n = min(len(buffer), len(self.ready))
+        buffer[:n] = self.ready[:n]
+        self.ready = self.ready[n:]
+        return n
+
+
+def _block(stream, n: int) -> bytes:
+    """``n`` bytes, or what there is; never asks for more memory than that."""
+    parts, left = [], n
+    while left and (part := stream.read(min(left, READ_BYTES))):
+        parts.append(part)
+        left -= len(part)
+    return b"".join(parts)
+
+
+def parse(stream) -> Iterator[tuple[dict, bytes | None, str | None]]:
+    """Header fields (names in lower case), block and fault of each record in a stream of plain bytes.
+
+    A record with a fault has no block. Lines that belong to no record, a header without a line end or with a
+    length that is no number, and a block that ends early are faults; reading goes on at the next line that
+    begins a record, which after a block that ends early is looked for in the block.
+    """
+    lost = False
+    while line := stream.readline(READ_BYTES):
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record here: {line[:40]!r}")
-        head: dict = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            key, _, value = line.decode().partition(":")
+            if line.strip() and not lost:
+                lost = True
+                yield {}, None, "bytes outside of a record"
+            continue
+        lost, head, ended = False, {}, False
+        while field := stream.readline(READ_BYTES):
+            if ended := field in (b"\r\n", b"\n"):
+                break
+            key, _, value = field.decode("utf-8", "replace").partition(":")
             head[key.strip().lower()] = value.strip()
-        n = int(head["content-length"])
-        block = stream.read(n)
-        if len(block) < n:
-            raise ValueError(f"record {head.get('warc-record-id')} ends before its length")
-        yield head, block
+        length = head.get("content-length", "")
+        if not ended or not _NUMBER.fullmatch(length):
+            lost = True
+            yield head, None, "no end of the header" if not ended else "no length"
+            continue
+        block = _block(stream, int(length))
+        if len(block) < int(length):
+            yield head, None, "ends before its length"
+            yield from parse(io.BytesIO(block[block.find(b"\nWARC/") + 1 or len(block) :]))
+            return
+        yield head, block, None
 
 
 _SEGMENT = "origin string, number long, total long, record_type string, refers_to string, digest string, fields map<string,string>, block binary"
-_RECORD = "record_id string, record_type string, refers_to string, digest string, fields map<string,string>, complete boolean, payload_bytes long, payload_digest string"
+_RECORD = "record_id string, record_type string, refers_to string, digest string, fields map<string,string>, complete boolean, fault string, payload_bytes long, payload_digest string"
 
 
-def _finished(kind: str, block: bytes | None, keep: bool) -> dict:
+def _finished(kind: str, block: bytes | None, fault: str | None, keep: bool) -> dict:
     payload = None if block is None or kind == "revisit" else payload_of(block)
     ok = payload is not None or kind == "revisit" and block is not None
-    out = {"complete": ok, "payload_bytes": None if payload is None else len(payload), "payload_digest": None if payload is None else hashlib.sha256(payload).hexdigest()}
+    out = {"complete": ok, "fault": fault or (None if ok else "broken framing"), "payload_bytes": None if payload is None else len(payload), "payload_digest": None if payload is None else hashlib.sha256(payload).hexdigest()}
     return out | ({"payload": payload} if keep else {})
 
 
@@ -165,7 +245,8 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     with ``payloads`` the payload. A record is complete if its segments are numbered from 1 without a
     gap, the last states the total length, the lengths add up to it and the framing is whole; else its
     payload columns are null. Of segments repeated with one number one counts. A revisit has null payload
-    columns. An empty folder of archives gives no rows.
+    columns. An empty folder of archives gives no rows. Whatever can't be read as a record is a row with
+    complete = false, record_type 'invalid' and its fault; the records after it are read.
     """
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -173,7 +254,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     ship(spark)
     schema = _RECORD + (", payload binary" if payloads else "")
     segment_type, record_type = (T._parse_datatype_string(s) for s in (_SEGMENT, schema))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("content")
 
     def rows(it, arrow, limit=SLICE_BYTES):
         import pyarrow as pa
@@ -191,19 +272,22 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     def parsed(batches, whole: bool):
         for batch in batches:
             for content in batch.column(0):
-                for head, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 20)):
-                    segmented = "warc-segment-number" in head
-                    if segmented == whole:
-                        continue
+                for head, block, fault in parse(io.BufferedReader(Inflated(content.as_buffer()), 1 << 20)):
                     kind = head.get("warc-type", "")
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
                     base = {"record_type": kind, "refers_to": head.get("warc-refers-to"), "digest": head.get("warc-payload-digest", "").removeprefix("sha256:") or None, "fields": list(head.items())}
+                    number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
+                    if fault is None and not (number is None or _NUMBER.fullmatch(number)) or not (total is None or _NUMBER.fullmatch(total)):
+                        fault = "a segment's number is none"
+                    if fault is not None:
+                        if whole:
+                            yield base | {"record_type": "invalid", "record_id": head.get("warc-record-id")} | _finished("", None, fault, payloads), 0
+                        continue
+                    if (number is not None) == whole or kind not in ("response", "revisit", "continuation"):
+                        continue
                     if whole:
-                        yield base | {"record_id": head.get("warc-record-id")} | _finished(kind, block, payloads), len(block) * payloads
+                        yield base | {"record_id": head.get("warc-record-id")} | _finished(kind, block, None, payloads), len(block) * payloads
                     else:
-                        total = head.get("warc-segment-total-length")
-                        yield base | {"origin": head.get("warc-segment-origin-id", head.get("warc-record-id")), "number": int(head["warc-segment-number"]), "total": total and int(total), "block": block}, len(block)
+                        yield base | {"origin": head.get("warc-segment-origin-id", head.get("warc-record-id")), "number": int(number), "total": total and int(total), "block": block}, len(block)
 
     def whole_records(batches):
         yield from rows(parsed(batches, True), to_arrow_schema(record_type))
@@ -221,10 +305,11 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                     numbers = sorted(pieces)
                     first, last = pieces[numbers[0]], pieces[numbers[-1]]
                     block = b"".join(pieces[k]["block"] for k in numbers)
-                    ok = numbers == list(range(1, len(numbers) + 1)) and last["total"] == len(block)
+                    gap, wrong = numbers != list(range(1, len(numbers) + 1)), last["total"] != len(block)
+                    fault = "segments are missing" if gap or last["total"] is None else "its length isn't the total" if wrong else None
                     kind = first["record_type"]
                     own = {k: first[k] for k in ("record_type", "refers_to", "digest", "fields")}
-                    yield own | {"record_id": r["origin"]} | _finished(kind, block if ok else None, payloads), len(block) * payloads
+                    yield own | {"record_id": r["origin"]} | _finished(kind, None if fault else block, fault, payloads), len(block) * payloads
 
         yield from rows(each(), to_arrow_schema(record_type))
 
@@ -270,18 +355,18 @@ def deduplicated(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFram
 def round_trip(pages: DataFrame, least_bytes: int = REVISIT_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``pages`` written as archives in the shared folder and read back: one row per page.
 
-    page_id, payload_bytes, payload_digest (both as read; a revisit's come from the response it refers
+    page_id (of any type that has a text form), payload_bytes, payload_digest (both as read; a revisit's come from the response it refers
     to), record_type, refers_to (that response's page_id) and complete. Extra columns are ignored; see
     :func:`deduplicated` for nulls and repeated rows. An empty table gives no rows.
     """
-    spark = pages.sparkSession
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     scratch = Scratch(spark, "warc")
     path = scratch.path("archives")
     write(deduplicated(pages, least_bytes), path, segment_bytes)
-    got = read(spark, path).select("record_id", "record_type", "refers_to", "complete", "payload_bytes", "payload_digest", F.col("fields")["page-id"].cast("long").alias("page_id"))
+    got = read(spark, path).select("record_id", "record_type", "refers_to", "complete", "payload_bytes", "payload_digest", F.col("fields")["page-id"].cast(kind).alias("page_id"))
     got = scratch.save(got, "read")
     origin = got.filter("record_type = 'response'").select(F.col("record_id").alias("o"), F.col("page_id").alias("of_page"), F.col("payload_bytes").alias("of_bytes"), F.col("payload_digest").alias("of_digest"), F.col("complete").alias("of_complete"))
     revisits = got.filter("record_type = 'revisit'").join(origin, F.col("refers_to") == F.col("o"), "left")
     revisits = revisits.select("page_id", F.col("of_bytes").alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), "record_type", F.col("of_page").alias("refers_to"), F.coalesce("of_complete", F.lit(False)).alias("complete"))
-    responses = got.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "complete")
+    responses = got.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(kind).alias("refers_to"), "complete")
     return responses.unionByName(revisits)
