@@ -1,6 +1,11 @@
 import html
 import re
+import time
+import tracemalloc
+from html.parser import HTMLParser
+from statistics import mean, pstdev
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,6 +79,161 @@ def test_link_share_is_of_decoded_text():
     assert extract(f"<body>{kept}<p><a href=/>only a link</a></p>") == "Ab, cd &&& &"
 
 
+def test_the_ratios_decide_every_given_page(monkeypatch):
+    """Without a path that reaches the limit nothing is main text, whatever the tags are called."""
+    pages = given_pages()
+    monkeypatch.setattr(htmltext, "THRESHOLD", 1e9)
+    assert all(extract(p) == "" for p in pages)
+
+
+def test_tags_and_names_are_no_more_than_priors():
+    """The given pages with tags and classes that say nothing: the ratios alone find the same text."""
+    pages = given_pages()
+    same = 0
+    for p in pages:
+        plain = p.replace("<article>", "<div>").replace("</article>", "</div>").replace('class="ad"', 'class="x9"').replace("<footer>", '<div class="x8">').replace("</footer>", "</div>")
+        same += extract(plain) == wanted(p)
+    assert same >= 0.97 * len(pages), same
+
+
+def test_unlisted_names_in_the_article():
+    pages = given_pages()
+    same = sum(extract(p.replace("</article>", '<div class="x7">Buy it now, cheap</div></article>')) == wanted(p) for p in pages)
+    assert same >= 0.9 * len(pages), same
+
+
+def test_ratios_are_those_of_the_definition():
+    for page in given_pages()[:60]:
+        elements, blocks = htmltext.read_page(page)
+        means, raw, limit = htmltext.path_ratios(elements, blocks)
+        want = brute_ratios(page)
+        names = {}
+        for b in blocks:
+            at, path = b.at, []
+            while at > 0:
+                path.insert(0, elements[at].kind)
+                at = elements[at].parent
+            names[b.path] = "/".join(path)
+        got = {names[k]: v for k, v in means.items()}
+        assert set(got) == set(want[0]) and all(abs(got[k] - want[0][k]) < 1e-9 for k in got) and abs(limit - want[1]) < 1e-9
+
+
+class Walk(HTMLParser):
+    """Blocks of the given pages with their paths, read by the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.path, self.found, self.text, self.linked, self.link, self.raw = [], [], [], [], False, False
+
+    def end(self):
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.found.append((list(self.path), text, len(" ".join("".join(self.linked).split()))))
+        self.text, self.linked = [], []
+
+    def handle_starttag(self, tag, attrs):
+        names = " ".join(sorted(x for k, v in attrs if k in ("class", "id") for x in v.split()))
+        if tag in ("script", "style", "title"):
+            self.raw = True
+        elif tag == "br":
+            self.text.append(" ")
+        elif tag == "a":
+            self.link = True
+        elif tag in htmltext.BLOCK:
+            self.end()
+            if self.path and self.path[-1] == "p":
+                self.path.pop()
+            if tag == "li" and self.path[-1] == "li":
+                self.path.pop()
+            self.path.append(f"{tag} {names}" if names and tag not in ("html", "body") else tag)
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title"):
+            self.raw = False
+        elif tag == "a":
+            self.link = False
+        elif tag in htmltext.BLOCK:
+            self.end()
+            tags = [p.split()[0] for p in self.path]
+            if tag in tags:
+                del self.path[len(tags) - 1 - tags[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.text.append(data)
+            if self.link:
+                self.linked.append(data)
+
+
+def brute_ratios(page):
+    walk = Walk()
+    walk.feed(page)
+    walk.close()
+    walk.end()
+
+    def prior(path):
+        tags = [p.split()[0] for p in path]
+        if set(tags) & {"nav", "footer", "aside", "head"}:
+            return 0.0
+        return (htmltext.MAIN_PRIOR if "article" in tags else 1.0) * (htmltext.MARK_PRIOR if any(p == "div ad" for p in path) else 1.0)
+
+    found = [("/".join(p), t, k, prior(p)) for p, t, k in walk.found]
+    length = lambda path: mean((len(t) - k) * w for p, t, k, w in found if p == path)
+    marks = lambda path: mean(len(htmltext.PUNCTUATION.findall(t)) * w for p, t, _, w in found if p == path)
+    both = {p: (length(p), marks(p)) for p in {f[0] for f in found}}
+    fused = {}
+    for i, (p, _, _, w) in enumerate(found):
+        near = [(both[found[j][0]], k) for j, k in zip((i - 1, i, i + 1), htmltext.KERNEL, strict=True) if 0 <= j < len(found)]
+        x, y = (sum(r[c] * k for r, k in near) / sum(k for _, k in near) for c in (0, 1))
+        fused.setdefault(p, []).append(x * (1 + y) if w else 0.0)
+    means = {p: mean(v) for p, v in fused.items()}
+    return means, htmltext.THRESHOLD * pstdev(means.values())
+
+
+def given_pages(sf="sf0.01"):
+    return [h for (h,) in duckdb.sql(f"SELECT coalesce(html, '') FROM '/root/testdata/{sf}/pages.parquet' ORDER BY page_id").fetchall()]
+
+
+def wanted(page):
+    """What stands in the page's only <article>."""
+    inner = re.search(r"<article>(.*?)(</article>|\Z)", page, re.DOTALL)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_several_articles_stay():
+    posts = ["<article><h2>Head</h2>" + "".join(f"<p>{t}</p>" for t in TEXT[1 : 1 + n]) + "</article>" for n in (4, 1, 2)]
+    assert extract(f"<body><nav><a href=/>x</a></nav><div class=x8>Short</div>{''.join(posts)}<div class=x9>All of it</div></body>").split("\n") == ["Head", *TEXT[1:], "Head", *TEXT[1:2], "Head", *TEXT[1:3]]
+    assert extract(f"<body><article>{INNER}</article><article><h2><a href=/>More</a></h2><p>A short one, this is.</p></article></body>").split("\n") == [*TEXT, "More", "A short one, this is."]
+
+
+@pytest.mark.parametrize("block", ['<p id="share-price">The price rose, again.</p>', '<p id="reply-all">To all.</p>', '<div class="notice-of-death"><p>She was born here, and left us in her sleep; all of us miss her now.</p></div>', '<blockquote class="comment">So be it.</blockquote>', '<p class="related">See the rest.</p>', '<ul class="points"><li>One<li>Two</ul>', "<header><p>By one of us.</p></header>"])
+def test_what_a_word_in_a_name_does_not_remove(block):
+    text = re.sub(r"\s+", " ", " ".join(re.split(r"<[^>]+>", block))).split(" ")
+    assert [w for w in extract(f"<body><article>{INNER}{block}<p>{TEXT[1]}</p></article></body>").split() if w] == " ".join([*TEXT, *text, TEXT[1]]).split()
+
+
+@pytest.mark.parametrize("block", ['<div style="display: none"><p>Not shown, this.</p></div>', "<p hidden>Not shown.</p>", '<p aria-hidden="true">Not shown.</p>', '<div class="ad"><p>Buy it, now.</p></div>', '<p class="ad">Buy it, now.</p>', '<ul class="pagination"><li>1<li>2</ul>', '<section class="comments"><p>I like it, very much so.</p></section>', "<footer><p>Tags, and so on.</p></footer>", "<form><p>Your name, please.</p></form>"])
+def test_what_is_not_shown_or_no_text(block):
+    assert extract(f"<body><article>{INNER}{block}<p>{TEXT[1]}</p></article></body>").split("\n") == [*TEXT, TEXT[1]]
+
+
+def test_inline_elements():
+    page = "<body><article>" + INNER + '<p>Words <span class="ad">buy <span>it</span> now</span>go <b style="display:none">not</b>on, <span class="share-price">here</span>.</p></article></body>'
+    assert extract(page).split("\n") == [*TEXT, "Words go on, here ."] or extract(page).split("\n") == [*TEXT, "Words go on, here."]
+
+
+def test_deep_and_broken_nesting_is_linear():
+    tracemalloc.start()
+    began = time.time()
+    words = "Some words, here; and more of them, in a row."
+    assert extract("<div>" * 40_000 + words) == words
+    assert extract("<div>" * 10_000 + "</p></x></section>" * 10_000 + words) == words
+    assert extract("<b class=ad>" * 10_000 + "x" + "</b>" * 10_000 + f"<p>{words}") == words
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20 and time.time() - began < 60
+    tracemalloc.stop()
+
+
 def test_cut_off_pages():
     page = "<html><body><nav><a href='/'>x</a></nav><article><h1>Head</h1><p>Some words, here.</p><p>And the la"
     assert extract(page) == "Head\nSome words, here.\nAnd the la"
@@ -98,10 +258,7 @@ def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in extracted(pages).collect()}
     for row in pages.collect():
-        inner = re.search(r"<article>(.*?)(</article>|\Z)", row.html, re.DOTALL)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
-        want = "\n".join(b for b in blocks if b)
-        assert got[row.page_id].text == want and got[row.page_id].n_chars == len(want)
+        assert got[row.page_id].text == wanted(row.html) and got[row.page_id].n_chars == len(wanted(row.html))
 
 
 def test_tables(spark):
