@@ -9,11 +9,15 @@ A shard is one file, written by Spark's writer as rows that each end with one by
 The hash is a cascade of bit arrays: at each level a key that falls on a place of its own owns it, the
 others go on to the next level; a key's slot is the number of owned places before its own. Keys that
 aren't in the shard are told by a stored 32-bit fingerprint. Looking a key up takes constant time.
+
+Beside the shards lies their map, a table of a row a shard: its number, file, least and greatest key,
+documents, ids, and ids before it. A look-up reads the map and then only the shards that may hold a key.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -21,15 +25,19 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import Scratch, _slices, ship
 from .words import RaggedTable, mix64, ragged
 
 END_ID = 2
-#: Text bytes of a shard, about; a shard is read as a whole.
-SHARD_BYTES = 12 << 20
+#: Text bytes of a shard, about; a shard is read as a whole. Small inputs are cut finer, down to ``LEAST_BYTES``, so
+#: that each core has ``SHARDS_A_CORE``.
+SHARD_BYTES, LEAST_BYTES, SHARDS_A_CORE = 256 << 20, 12 << 20, 4
+#: Shards whose ids are summed up together on the way to the ids before each shard.
+SUM_BLOCK = 1024
 #: Text bytes encoded at once, and texts of joined words that the tokenizer gets at once.
 SLICE_BYTES, JOINED_TEXTS = 2 << 20, 64
 LOAD, LEVELS = 2.0, 64
@@ -155,9 +163,43 @@ class Shard:
         return None if slot < 0 else self.tokens(slot)
 
 
+#: What a tokenizer file must say for :class:`WordEncoder` to give its ids.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def is_word_tokenizer(tokenizer_file: str) -> bool:
+    """Whether the file puts text in lower case, splits it at white space and before a full stop or comma after a
+    letter or digit, adds nothing, and has the separator as a special token: what :class:`WordEncoder` rests on."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        parts = json.load(f)
+    special = [t for t in parts["added_tokens"] if t["content"] == WordEncoder.SEPARATOR and t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"])]
+    return parts["normalizer"] == WORD_NORMALIZER and parts["pre_tokenizer"] == WORD_SPLITTER and parts["post_processor"] is None and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout") and len(special) == 1 and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+
+
+class TextEncoder:
+    """Ids of whole texts, each followed by ``END_ID``, by any tokenizer, text by text."""
+
+    def __init__(self, tokenizer_file: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.dtype = Tokenizer.from_file(tokenizer_file), np.dtype(dtype)
+
+    def __call__(self, texts: Sequence) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = ragged([[*self.tokenizer.encode(t.decode() if t else "", add_special_tokens=False).ids, END_ID] for t in texts])
+        return ids.astype(self.dtype), counts
+
+
 class WordEncoder:
     """Ids of whole texts, each followed by ``END_ID``, by a tokenizer that never joins across white space
-    and puts text in lower case.
+    and puts text in lower case (see :func:`is_word_tokenizer`).
 
     Such a tokenizer's ids of a text are those of its words in turn, so each distinct word (a run without
     ASCII white space, A-Z lowered) is encoded once as long as a bounded table remembers it. Full stops
@@ -206,9 +248,9 @@ class WordEncoder:
 
 
 @functools.cache
-def encoder_of(tokenizer_file: str, dtype: str) -> WordEncoder:
+def encoder_of(tokenizer_file: str, dtype: str) -> WordEncoder | TextEncoder:
     """A worker's encoder: what it remembers serves all tasks that the worker runs."""
-    return WordEncoder(tokenizer_file, dtype)
+    return (WordEncoder if is_word_tokenizer(tokenizer_file) else TextEncoder)(tokenizer_file, dtype)
 
 
 def id_bytes(tokenizer_file: str) -> int:
@@ -217,16 +259,25 @@ def id_bytes(tokenizer_file: str) -> int:
     return 2 if Tokenizer.from_file(tokenizer_file).get_vocab_size() <= 1 << 16 else 4
 
 
+def shard_count(total: int, cores: int, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for so many bytes of text: as large as ``shard_bytes`` lets them be, but for a few a core."""
+    fine = -(-total // min(LEAST_BYTES, shard_bytes))
+    return max(1, -(-total // shard_bytes), min(fine, SHARDS_A_CORE * cores))
+
+
 def write(docs: DataFrame, path: str, tokenizer_file: str, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode the whole texts of ``docs`` (doc_id, text) and write shards in ascending doc_id order.
 
-    Null ids come first; equal ids are ordered by their texts' hashes. A null text is an empty one.
+    Keys are whole numbers; another kind of doc_id is refused. Null ids come first; equal ids are ordered by
+    their texts' hashes. A null text is an empty one.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {docs.schema['doc_id'].dataType.simpleString()}")
     ship(docs.sparkSession)
     width = id_bytes(tokenizer_file)
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = shard_count(total, docs.sparkSession.sparkContext.defaultParallelism, shard_bytes)
     rows = slim.repartitionByRange(shards, "doc_id", "k").sortWithinPartitions("doc_id", "k").select("doc_id", "text")
 
     def work(batches):
@@ -254,13 +305,18 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, shard_bytes: int = SH
     out.write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    shard = F.element_at(F.split("path", "/"), -1).alias("shard")
-    return spark.read.format("binaryFile").load(path).filter("length > 0").select(shard, "content")
+def shard_number(file: Column) -> Column:
+    """A shard's number from its file's name. The writer pads it to five digits only, so names don't sort."""
+    return F.regexp_extract(file, r"part-([0-9]+)", 1).cast("long")
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    file = F.element_at(F.split("path", "/"), -1)
+    return spark.read.format("binaryFile").load(path).filter("length > 0").select(shard_number(file).alias("shard"), file.alias("file"), "content")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``shard, doc_id, start_in_shard, n_tokens, ids_crc32`` of each document, found by its key.
+    """``shard, file, doc_id, start_in_shard, n_tokens, ids_crc32`` of each document, found by its key.
 
     The keys of a shard are looked up in its index; ids_crc32 is taken over the ids as unsigned 32-bit
     little-endian numbers.
@@ -271,36 +327,76 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for number, file, content in zip(*[batch.column(k).to_pylist() for k in (0, 1)], batch.column(2), strict=True):
                 shard = Shard(content.as_buffer())
                 slots = shard.find(shard.ids, shard.null, occurrences(shard.ids, shard.null))
                 n = shard.count[slots].astype(np.int64)
                 crc = np.array([zlib.crc32(shard.tokens(s).astype("<u4").tobytes()) for s in slots.tolist()], np.int64)
                 yield pa.record_batch(
-                    [pa.array([name] * len(n), pa.string()), pa.array(shard.ids, pa.int64(), mask=shard.null), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc)],
-                    ["shard", "doc_id", "start_in_shard", "n_tokens", "ids_crc32"],
+                    [pa.array([number] * len(n), pa.int64()), pa.array([file] * len(n), pa.string()), pa.array(shard.ids, pa.int64(), mask=shard.null), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc)],
+                    ["shard", "file", "doc_id", "start_in_shard", "n_tokens", "ids_crc32"],
                 )
 
-    return _files(spark, path).mapInArrow(work, "shard string, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long")
+    return _files(spark, path).mapInArrow(work, "shard long, file string, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long")
+
+
+def with_starts(totals: DataFrame) -> DataFrame:
+    """``totals`` (shard, tokens and more) with ``start``: the tokens of all shards of smaller numbers.
+
+    Shards are summed in blocks of ``SUM_BLOCK``, the blocks' sums are carried on, and each block is then summed
+    within: what one task sees is a block, or a row a block.
+    """
+    blocked = totals.withColumn("block", F.floor(F.col("shard") / SUM_BLOCK))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocked.groupBy("block").agg(F.sum("tokens").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
+    within = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    out = blocked.withColumn("within", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(carried, "block")
+    return out.withColumn("start", F.col("carried") + F.col("within")).drop("block", "within", "carried")
+
+
+def map_path(path: str) -> str:
+    return f"{path.rstrip('/')}-map"
+
+
+def write_map(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
+    """Write and return the shards' map (from ``rows``, if :func:`read` was done already)."""
+    rows = read(spark, path) if rows is None else rows
+    totals = rows.groupBy("shard", "file").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
+    with_starts(totals).write.mode("overwrite").parquet(map_path(path))
+    return spark.read.schema("shard long, file string, least long, greatest long, documents long, tokens long, start long").parquet(map_path(path))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """``doc_id, ids`` of those of the given documents that the shards hold (first occurrences in each)."""
+    """``doc_id, ids`` of those of the given documents that the shards hold (first occurrences in each).
+
+    The map tells which shards' key ranges hold one of the documents; only these files are opened. It is
+    written first if it isn't there.
+    """
     ship(spark)
     wanted = np.array(sorted(set(doc_ids)), np.int64)
+    made = spark.read.parquet(map_path(path)) if _exists(spark, f"{map_path(path)}/_SUCCESS") else write_map(spark, path)
+    asked = F.array(*[F.lit(int(i)) for i in wanted]).cast("array<long>")
+    files = [r.file for r in made.filter(F.exists(asked, lambda i: i.between(F.col("least"), F.col("greatest")))).select("file").collect()]
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for content in batch.column(1):
+            for content in batch.column(2):
                 shard = Shard(content.as_buffer())
                 slots = shard.find(wanted, np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64))
                 hit = np.nonzero(slots >= 0)[0]
                 ids = [shard.tokens(s).astype(np.int64) for s in slots[hit].tolist()]
                 yield pa.record_batch([pa.array(wanted[hit]), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(work, "doc_id long, ids array<long>")
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    return _files(spark, [f"{path.rstrip('/')}/{f}" for f in files]).mapInArrow(work, "doc_id long, ids array<long>")
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -308,16 +404,12 @@ def round_trip(docs: DataFrame, tokenizer_file: str, shard_bytes: int = SHARD_BY
 
     doc_id, start (ids of all documents before it in the files' order), n_tokens (with the end id) and
     ids_crc32. Null and empty texts have the end id alone. Rows of one doc_id follow each other, in an
-    order fixed by their texts; other columns are ignored, an empty table gives no rows. The shards'
-    totals, one number each, pass through the driver.
+    order fixed by their texts; other columns are ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     path = scratch.path("shards")
     write(docs, path, tokenizer_file, shard_bytes)
     rows = scratch.save(read(spark, path), "read")
-    totals = sorted((r["shard"], r["n"]) for r in rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
-    base = np.cumsum([0] + [n for _, n in totals]).tolist()
-    bases = spark.createDataFrame([(s, base[i]) for i, (s, _) in enumerate(totals)], "shard string, base long")
-    out = rows.join(bases, "shard")
+    out = rows.join(write_map(spark, path, rows).select("shard", F.col("start").alias("base")), "shard")
     return out.select("doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")

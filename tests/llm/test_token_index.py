@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -5,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cdrlens.llm import token_index as ti
@@ -73,6 +75,56 @@ def test_round_trip(spark, tokenizer):
     assert ti.round_trip(df.limit(0), FILE).count() == 0
 
 
+def test_shards_are_ordered_by_number(spark):
+    """Beyond 99,999 files names no longer sort as their numbers do."""
+    n = 100_020
+    rows = spark.range(n).select(F.format_string("part-%05d-x-c000.txt", "id").alias("file"), (F.col("id") % 7 + 1).alias("tokens")).repartition(8)
+    got = dict(ti.with_starts(rows.withColumn("shard", ti.shard_number(F.col("file")))).filter("shard > 99990 or shard < 5 or shard % 1024 < 2").select("shard", "start").collect())
+    want = np.cumsum([0] + [k % 7 + 1 for k in range(n)])
+    assert len(got) > 200 and all(got[k] == want[k] for k in got)
+
+
+def test_shard_counts():
+    assert ti.shard_count(0, 8) == 1 and ti.shard_count(800 << 20, 6) == 24 and ti.shard_count(30 << 20, 8) == 3
+    assert ti.shard_count(100 << 40, 1000) == (100 << 40) // ti.SHARD_BYTES
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "changed"])
+def test_another_tokenizer(tmp_path, name):
+    """A file that the word encoder's facts don't hold for is used text by text."""
+    file = public_tokenizers.path(name) if name != "changed" else str(tmp_path / "t.json")
+    if name == "changed":
+        parts = json.loads(open(FILE, encoding="utf-8").read())
+        parts["normalizer"]["normalizers"].pop()
+        (tmp_path / "t.json").write_text(json.dumps(parts))
+    assert ti.is_word_tokenizer(FILE) and not ti.is_word_tokenizer(file)
+    texts = ["Some Words, here.", "", "A  b\n\nC"]
+    ids, counts = ti.encoder_of(file, "<u2")([t.encode() for t in texts])
+    whole = [x.ids + [ti.END_ID] for x in Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, whole)) and ids.tolist() == [i for r in whole for i in r]
+
+
+def test_keys_are_whole_numbers(spark, tmp_path):
+    with pytest.raises(TypeError, match="whole number"):
+        ti.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), str(tmp_path / "t"), FILE)
+    got = ti.round_trip(spark.createDataFrame([(1, "b")], "doc_id int, text string"), FILE).first()
+    assert got.doc_id == 1
+
+
+def test_lookup_opens_only_the_shards_that_may_hold_a_key(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(200)], "doc_id long, text string")
+    path = str(tmp_path / "t")
+    ti.write(df, path, FILE, shard_bytes=300)
+    made = ti.write_map(spark, path).orderBy("shard").collect()
+    assert len(made) > 5 and sum(r.documents for r in made) == 200 and [r.start for r in made] == np.cumsum([0] + [r.tokens for r in made[:-1]]).tolist()
+    keep = next(r.file for r in made if r.least <= 77 <= r.greatest)
+    for f in (tmp_path / "t").glob("part-*"):
+        if f.name != keep:
+            f.unlink()
+    assert [r.doc_id for r in ti.lookup(spark, path, [77]).collect()] == [77]
+    assert ti.lookup(spark, path, [5000]).count() == 0
+
+
 def test_lookup(spark, tmp_path, tokenizer):
     df = spark.createDataFrame([(i, f"text number {i}") for i in range(100)], "doc_id long, text string")
     ti.write(df, str(tmp_path / "t"), FILE, shard_bytes=300)
