@@ -89,9 +89,9 @@ def with_neighbours(cells: DataFrame, s: Settings) -> DataFrame:
     near = near.filter((F.col("cell_id") != F.col("n_cell_id")) & (F.hypot(dx, dy) <= F.col("n_r_max_m")))
     near = near.withColumn("power", _power(models, lambda k: F.col(f"n_{k}"), dx, dy, s.ut_height_m))
     rank = Window.partitionBy("run_id", "cell_id").orderBy(F.desc("power"), "n_cell_id")
-    fields = ("x", "y", "azimuth", "beam_width", "eirp_dbm", "ant_height", "tilt_deg", "freq_mhz", "model_type")
+    fields = ("cell_id", "x", "y", "azimuth", "beam_width", "eirp_dbm", "ant_height", "tilt_deg", "freq_mhz", "model_type")
     best = near.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= s.neighbours)
-    best = best.groupBy("run_id", "cell_id").agg(F.sort_array(F.collect_list(F.struct("rank", *[F.col(f"n_{f}").alias(f) for f in fields]))).alias("neighbours"))
+    best = best.groupBy("run_id", "cell_id").agg(F.sort_array(F.collect_list(F.struct("rank", "power", *[F.col(f"n_{f}").alias(f) for f in fields]))).alias("neighbours"))
     return flat.drop("cx", "cy").join(best, ["run_id", "cell_id"], "left")
 
 
@@ -230,6 +230,83 @@ def shapes(records: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
     return pairs.mapInPandas(work, f"run_id {kinds['run_id']}, cell_id {kinds['cell_id']}, ta_value int, {_SHAPE}")
 
 
+def _by_cell(cells: DataFrame, rows_of, ddl: str) -> DataFrame:
+    """Rows that ``rows_of`` gives for each cell (a dict), about ``FRAME_ROWS`` at a time."""
+    ship(cells.sparkSession)
+    kinds = dict(cells.dtypes)
+    names = ["run_id", "cell_id", *[f.split()[0] for f in ddl.split(", ")]]
+    ints = {f.split()[0]: "Int32" for f in ddl.split(", ") if f.endswith(" int")}
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for frame in frames:
+            for cell in frame.to_dict("records"):
+                out += [(cell["run_id"], cell["cell_id"], *row) for row in rows_of(cell)]
+                if len(out) >= FRAME_ROWS:
+                    yield pd.DataFrame(out, columns=names).astype(ints)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names).astype(ints)
+
+    return cells.mapInPandas(work, f"run_id {kinds['run_id']}, cell_id {kinds['cell_id']}, {ddl}")
+
+
+def hexagon_masses(records: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
+    """``run_id, cell_id, ta_value, q, r, mass, level`` of each hexagon of each distinct pair that records hold:
+    level is the smallest of the settings' levels whose region has the hexagon, null if none."""
+    lattice = HexLattice(s.grid_m)
+
+    def rows_of(cell) -> list[tuple]:
+        try:
+            kernel = CellKernel(cell, cell["neighbours"], s, lattice)
+        except ValueError:
+            return []
+        out = []
+        for ta in [*(int(t) for t in cell["tas"]), *([None] if cell["without"] else [])]:
+            try:
+                mass, _ = kernel.mass(ta)
+            except ValueError:
+                continue
+            level, ranked = np.full(len(mass), np.nan), kernel.ranked(mass)
+            for x in sorted(s.levels, reverse=True):
+                level[kernel.contour(mass, x, ranked)] = x
+            out += [(ta, *row) for row in zip(kernel.q.tolist(), kernel.r.tolist(), mass.tolist(), [None if x != x else x for x in level.tolist()], strict=True)]
+        return out
+
+    return _by_cell(_pairs(records, cells, s), rows_of, "ta_value int, q long, r long, mass double, level double")
+
+
+def sector_hexagons(cells: DataFrame, s: Settings) -> DataFrame:
+    """``hexagons, sum_q, sum_r, west, north`` of each cell's sector. cells: with x and y on the plane."""
+    lattice = HexLattice(s.grid_m)
+
+    def rows_of(cell) -> list[tuple]:
+        q, r = g.Sector(cell["x"], cell["y"], cell["azimuth"], cell["beam_width"], cell["r_max_m"]).cells(lattice)
+        if not len(q):
+            return []
+        x, y = lattice.centre(q, r)
+        return [(len(q), int(q.sum()), int(r.sum()), float(x.min()), float(y.max()))]
+
+    return _by_cell(cells, rows_of, "hexagons long, sum_q long, sum_r long, west double, north double")
+
+
+def ring_hexagons(cells: DataFrame, s: Settings, values: int) -> DataFrame:
+    """``ta_value, hexagons, total`` of each cell: hexagons of its sector that the ring of a timing advance
+    meets, for the first ``values`` of them, and their areas in it, in hexagons."""
+    lattice = HexLattice(s.grid_m)
+
+    def rows_of(cell) -> list[tuple]:
+        q, r = g.Sector(cell["x"], cell["y"], cell["azimuth"], cell["beam_width"], cell["r_max_m"]).cells(lattice)
+        corners, out = lattice.corners(q, r), []
+        for ta in range(values):
+            share = g.ring_shares(corners, cell["x"], cell["y"], *timing.ring(ta, s.technology))
+            if (share > 0).any():
+                out.append((ta, int((share > 0).sum()), float(share.sum())))
+        return out
+
+    return _by_cell(cells, rows_of, "ta_value int, hexagons long, total double")
+
+
 def estimates(records: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
     """Five rows for each record of a known cell; see :func:`rejected` for the others.
 

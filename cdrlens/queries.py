@@ -461,12 +461,6 @@ def _(a):
     return rows.filter(F.col("before") < 0.9 * F.col("total")).groupBy("run_id", "cell_id").agg(F.count("*").alias("members"))
 
 
-@query("location_shapes", None)
-def _(a):
-    made = estimation.shapes(a.records, a.cells, SETTINGS)
-    return made.select("run_id", "cell_id", "ta_value", "method", "confidence", F.round("area_km2", 6).alias("area_km2"), "part_count", "ta_used", F.round("centroid_lat", 7).alias("centroid_lat"), F.round("centroid_lon", 7).alias("centroid_lon"))
-
-
 @query("estimates_per_event", "SELECT r.run_id, count(*) AS events, count(*) * 5 AS n FROM records r JOIN cells c ON c.run_id = r.run_id AND c.cell_id = r.cell_id GROUP BY 1", _T)
 def _(a):
     return estimation.estimates(a.records, a.cells, SETTINGS).groupBy("run_id").agg(F.count_distinct("event_id").alias("events"), F.count("*").alias("n"))

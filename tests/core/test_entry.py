@@ -11,7 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cdrlens import queries
+from cdrlens import catalogue, queries
 
 ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.001"
@@ -29,10 +29,10 @@ def plain(rows):
     return sorted(tuple("-" if v is None or pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_like_sql(spark, duck, name):
-    got = queries.QUERIES[name](spark, SF).toPandas()
-    want = duck.sql(queries.SQL[name]).df()
+    got = catalogue.QUERIES[name](spark, SF).toPandas()
+    want = duck.sql(catalogue.SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
 
@@ -42,9 +42,9 @@ def test_like_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs_without_sql(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() > 0
+    assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
 def test_only_the_entry_names_the_text_operators():
