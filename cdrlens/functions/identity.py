@@ -117,6 +117,26 @@ def standard_normal(h: np.ndarray) -> np.ndarray:
         return np.sqrt(-2 * np.log(open_unit(h))) * np.cos(2 * np.pi * open_unit(_splitmix(h)))
 
 
+def uniform_column(seed: int, stream: int, purpose: int, agent: Column, tick: Column) -> Column:
+    """:func:`uniform` of two columns of whole numbers."""
+
+    @F.pandas_udf(T.DoubleType())
+    def compute(a: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series(uniform(seed, stream, purpose, a.to_numpy(np.int64), t.to_numpy(np.int64)))
+
+    return compute(agent, tick)
+
+
+def normal_column(seed: int, agent: Column, tick: Column) -> Column:
+    """:func:`standard_normal` of the hash of two columns of whole numbers."""
+
+    @F.pandas_udf(T.DoubleType())
+    def compute(a: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series(standard_normal(chain(np.uint64(seed & 0xFFFFFFFFFFFFFFFF), a.to_numpy(np.int64), t.to_numpy(np.int64))))
+
+    return compute(agent, tick)
+
+
 def subscriber_number(agent: Column) -> Column:
     return F.concat(F.lit(SUBSCRIBER_PREFIX), F.lpad(agent.cast("string"), 8, "0"))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, radio, timing
@@ -21,7 +21,6 @@ from ..runtime import ship
 from ..sources.config import Scenario
 
 AZIMUTHS = (0.0, 120.0, 240.0)
-HEX_PACKING = math.sqrt(3) / 2
 MAX_EVENTS, ANCHOR_NOISE_M, PATH_NOISE_M, SPEED_JITTER = 16, 25.0, 60.0, 0.25
 DEPART_WORK, DEPART_HOME, DEPART_JITTER, MIN_COMMUTE = 8 * 60, 18 * 60, 60, 10
 SHIFT_US = -2 * 3600 * 1_000_000
@@ -54,18 +53,16 @@ def _u(spec: RunSpec, stream: str, purpose: int, a, b):
     return identity.uniform(spec.seed, _STREAM[stream], purpose, np.asarray(a, np.int64), np.asarray(b, np.int64))
 
 
-def site_lattice(radius_m: float, low: int, high: int, wanted: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Spacing and cells of a lattice with ``low`` to ``high`` sites in a disk, about ``wanted``: the
-    spacing that the area suggests, else found by halving."""
-    guess = math.sqrt(math.pi * radius_m**2 / (HEX_PACKING * wanted))
-    narrow, wide, spacing = guess / 4, guess * 4, guess
-    for _ in range(64):
-        q, r = HexLattice(spacing).disk(0.0, 0.0, radius_m)
-        if low <= len(q) <= high:
-            return spacing, q, r
-        narrow, wide = (spacing, wide) if len(q) > wanted else (narrow, spacing)
-        spacing = (narrow + wide) / 2
-    raise ValueError("no spacing gives a number of sites in the range")
+def site_lattice(radius_m: float, wanted: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Spacing and cells (by r, then q) of a lattice with ``wanted`` sites in a disk: the lattice's cells closest
+    to its middle (of equals by r, then q), spread so that the farthest lies on the rim."""
+    reach = math.isqrt(wanted) + 2
+    q, r = (v.ravel() for v in np.meshgrid(np.arange(-2 * reach, 2 * reach + 1), np.arange(-2 * reach, 2 * reach + 1)))
+    far = q * q + q * r + r * r  # the squared distance in spacings
+    order = np.lexsort((q, r, far))[:wanted]
+    q, r, widest = q[order], r[order], math.sqrt(far[order[-1]])
+    order = np.lexsort((q, r))
+    return radius_m / max(widest, 1.0), q[order], r[order]
 
 
 def make_cells(spec: RunSpec) -> pd.DataFrame:
@@ -73,7 +70,7 @@ def make_cells(spec: RunSpec) -> pd.DataFrame:
     s, p = spec.scenario, spec.scenario.profile
     low, high = s.network.sites_min, s.network.sites_max
     wanted = low + min(high - low, int(_u(spec, "place", 1, 0, 0) * (high - low + 1)))
-    spacing, q, r = site_lattice(p.area_radius_km * 1000, low, high, wanted)
+    spacing, q, r = site_lattice(p.area_radius_km * 1000, wanted)
     x, y = HexLattice(spacing).centre(q, r)
     lon, lat = spec.plane.lonlat(x, y)
     edges = np.cumsum([w for _, w in p.freq_bands])
@@ -180,6 +177,26 @@ def best_servers(spec: RunSpec, cells: pd.DataFrame, x: np.ndarray, y: np.ndarra
     return best, power, far
 
 
+def trajectories(spark: SparkSession, spec: RunSpec, agents: pd.DataFrame) -> DataFrame:
+    """``agent_id, tick, x, y, events``: where each agent is in each tick, and how many events it has."""
+    ship(spark)
+    s = spec.scenario.simulation
+    n, ticks = s.agents, s.duration_days * 1440 // s.tick_minutes
+
+    def work(frames):
+        for f in frames:
+            agent, tick = f["id"].to_numpy() % n, f["id"].to_numpy() // n
+            x, y = positions(spec, agents, agent, tick)
+            yield pd.DataFrame({"agent_id": agent, "tick": tick, "x": x, "y": y, "events": event_counts(spec, agent, tick)})
+
+    return spark.range(0, ticks * n).mapInPandas(work, "agent_id long, tick long, x double, y double, events long")
+
+
+def unknown_cell(event: Column) -> Column:
+    """The id of a cell that no inventory has, one an event."""
+    return identity.uuid5(str(uuid.uuid5(uuid.NAMESPACE_OID, "cdrlens/unknown-cell")), F.unhex(F.regexp_replace(event, "-", "")))
+
+
 _MADE = "agent_id int, tick long, seq int, lat double, lon double, covered boolean, cell_id string, ta_value int, event_type string, fault int, swapped_agent long, wrong_cell string"
 
 
@@ -247,8 +264,7 @@ def records_of(events: DataFrame, spec: RunSpec) -> DataFrame:
     two hours early, a missing record, another's device. seq is the order of sending."""
     fault = F.coalesce("fault", F.lit(0))
     device = identity.device_number(F.when(fault == 5, F.col("swapped_agent")).otherwise(F.col("agent_id")))
-    fake = identity.uuid5(str(uuid.uuid5(uuid.NAMESPACE_OID, "cdrlens/unknown-cell")), F.unhex(F.regexp_replace("event_id", "-", "")))
-    cell = F.when(fault == 1, fake).when(fault == 2, F.col("wrong_cell")).otherwise(F.col("cell_id"))
+    cell = F.when(fault == 1, unknown_cell(F.col("event_id"))).when(fault == 2, F.col("wrong_cell")).otherwise(F.col("cell_id"))
     order = (F.col("tick") * spec.scenario.simulation.agents + F.col("agent_id")) * MAX_EVENTS + F.col("seq")
     return events.filter(F.col("covered") & (fault != 4)).select(
         F.lit(spec.run_id).alias("run_id"), "event_id", order.alias("seq"), F.when(fault == 3, F.col("time_us") + SHIFT_US).otherwise(F.col("time_us")).alias("time_us"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import geo, identity, radio, timing
 from .functions.geo import HexLattice, Plane
 from .functions.mathops import COL
-from .operators import estimation, generator, integrity, measurement, sampling, service
+from .operators import estimation, generator, integrity, measurement, service
 from .operators.estimation import Settings
 from .operators.integrity import Rules
 from .sources import adapters, wire
@@ -466,11 +466,6 @@ def _(a):
     return estimation.estimates(a.records, a.cells, SETTINGS).groupBy("run_id").agg(F.count_distinct("event_id").alias("events"), F.count("*").alias("n"))
 
 
-@query("exact_sample", None)
-def _(a):
-    return sampling.exact_sample(_ids(a).select(F.col("uid").alias("event_id")), 100, 42)
-
-
 @query("wire_round_trip", "SELECT event_id, time_us, subscriber, ta_value FROM records", _T)
 def _(a):
     texts = a.records.select(F.lit(_RUN_UUID).alias("run_id"), identity.event_id(F.lit(_RUN_UUID), F.lit(0), F.col("event_id"), F.lit(0)).alias("event_id"), "time_us", "subscriber", "device", "event_type", F.lit(_RUN_UUID).alias("cell_id"), "ta_value", "scenario")
@@ -486,7 +481,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verdict", measurement.verdict())
 
 
-#: A small scenario for the generator: a day of a hundred agents.
+#: A small scenario for the generator: a day of a hundred agents, or of as many as there are users.
 DEMO = {
     "run": {"scenario": "A", "name": "demo", "seed": 42}, "morphology": "urban", "area": {"origin_lat": 38.6748, "origin_lon": 39.2225, "radius_km": 3},
     "simulation": {"agents": 100, "duration_days": 1, "tick_minutes": 5}, "network": {"sites_min": 20, "sites_max": 40, "rx_sensitivity_dbm": -110},
@@ -498,14 +493,10 @@ DEMO = {
 }
 
 
-def demo_spec() -> generator.RunSpec:
+def demo_spec(agents: int = 100) -> generator.RunSpec:
     import json
 
     from .sources.config import parse
 
-    return generator.RunSpec(_RUN_UUID, parse(json.dumps(DEMO)), 1_704_067_200_000_000, b"0123456789abcdef0123456789abcdef")
-
-
-@query("generated_records", None)
-def _(a):
-    return generator.generate(a.spark, demo_spec())["records"]
+    scenario = DEMO | {"simulation": DEMO["simulation"] | {"agents": agents}}
+    return generator.RunSpec(_RUN_UUID, parse(json.dumps(scenario)), 1_704_067_200_000_000, b"0123456789abcdef0123456789abcdef")
