@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -68,9 +68,11 @@ def on_plane(cells: DataFrame, plane: Plane) -> DataFrame:
 def with_neighbours(cells: DataFrame, s: Settings) -> DataFrame:
     """``cells`` with ``neighbours``: the strongest others at the centroid of each cell's sector.
 
-    Candidates are cells whose own range reaches the centroid. Both sides are dealt to square tiles as
-    wide as the longest range, a cell to its own tile and the eight around, so the distance condition is
-    an equi-join on tiles and never compares all pairs.
+    Candidates are cells whose own range reaches the centroid. Cells are classed by their range, each class
+    twice as long as the one before, and dealt to square tiles as wide as their class, to their own tile and
+    the eight around; centroids look in their tile of each class that there is. So the distance condition is
+    an equi-join on class and tile that never compares all pairs, and a cell of exceptional range makes no
+    other cell's tiles wider.
     """
     models = sorted(radio.MODELS)
     plane = Plane(s.origin_lat, s.origin_lon)
@@ -78,13 +80,18 @@ def with_neighbours(cells: DataFrame, s: Settings) -> DataFrame:
     half = F.radians(F.col("beam_width") / 2)
     reach = F.when(F.col("beam_width") >= 360, F.lit(0.0)).otherwise(2 * F.col("r_max_m") * F.sin(half) / (3 * half))
     flat = flat.withColumn("cx", F.col("x") + reach * F.sin(F.radians("azimuth"))).withColumn("cy", F.col("y") + reach * F.cos(F.radians("azimuth")))
-    tile = flat.agg(F.max("r_max_m")).first()[0] or 1.0
+    kind = F.greatest(F.lit(0), F.ceil(F.log2("r_max_m"))).cast("int")
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    sides = [F.floor(F.col(c) / tile) for c in ("cx", "cy", "x", "y")]
-    left = flat.select("run_id", "cell_id", "cx", "cy", sides[0].alias("tx"), sides[1].alias("ty"))
-    right = flat.select(*[F.col(c).alias(f"n_{c}") for c in flat.columns], sides[2].alias("a"), sides[3].alias("b"))
-    right = right.withColumn("da", around).withColumn("db", around).withColumn("tx", F.col("a") + F.col("da")).withColumn("ty", F.col("b") + F.col("db"))
-    near = left.join(right, (left.tx == right.tx) & (left.ty == right.ty) & (left.run_id == right.n_run_id))
+
+    def tile(c: str, of: Column) -> Column:
+        return F.floor(F.col(c) / F.pow(F.lit(2.0), of))
+
+    classes = F.broadcast(flat.select(kind.alias("class")).distinct())  # powers of two of metres: a few dozen at most
+    left = flat.select("run_id", "cell_id", "cx", "cy").crossJoin(classes)
+    left = left.withColumn("tx", tile("cx", F.col("class"))).withColumn("ty", tile("cy", F.col("class")))
+    right = flat.select(*[F.col(c).alias(f"n_{c}") for c in flat.columns], kind.alias("n_class"), tile("x", kind).alias("a"), tile("y", kind).alias("b"))
+    right = right.withColumn("da", around).withColumn("db", around).withColumn("n_tx", F.col("a") + F.col("da")).withColumn("n_ty", F.col("b") + F.col("db"))
+    near = left.join(right, (left["class"] == right.n_class) & (left.tx == right.n_tx) & (left.ty == right.n_ty) & (left.run_id == right.n_run_id))
     dx, dy = F.col("cx") - F.col("n_x"), F.col("cy") - F.col("n_y")
     near = near.filter((F.col("cell_id") != F.col("n_cell_id")) & (F.hypot(dx, dy) <= F.col("n_r_max_m")))
     near = near.withColumn("power", _power(models, lambda k: F.col(f"n_{k}"), dx, dy, s.ut_height_m))
@@ -318,6 +325,30 @@ def estimates(records: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
     return joined.select("run_id", "event_id", "time_us", "scenario", *[f.split()[0] for f in _SHAPE.split(", ")])
 
 
+def unexplained(records: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
+    """``run_id, event_id, reason`` of the records that get no estimate: their cell is unknown, its sector holds no
+    hexagon, or no place of it explains the timing advance. With these, records are five rows each or are here."""
+    lattice = HexLattice(s.grid_m)
+
+    def rows_of(cell) -> list[tuple]:
+        asked = [*(int(t) for t in cell["tas"]), *([None] if cell["without"] else [])]
+        try:
+            kernel = CellKernel(cell, cell["neighbours"], s, lattice)
+        except ValueError as e:
+            return [(t, str(e)) for t in asked]
+        out = []
+        for t in asked:
+            try:
+                kernel.mass(t)
+            except ValueError as e:
+                out.append((t, str(e)))
+        return out
+
+    known = _by_cell(_pairs(records, cells, s), rows_of, "shape_ta int, reason string")
+    failed = records.join(known, ["run_id", "cell_id"]).filter(F.col("ta_value").eqNullSafe(F.col("shape_ta"))).select("run_id", "event_id", "reason")
+    return failed.unionByName(rejected(records, cells).select("run_id", "event_id", F.lit("unknown cell").alias("reason")))
+
+
 def rejected(records: DataFrame, cells: DataFrame) -> DataFrame:
     """Records whose cell isn't in the inventory: they have no estimate and aren't counted as analysed."""
     return records.join(cells.select("run_id", "cell_id"), ["run_id", "cell_id"], "left_anti")
@@ -329,17 +360,14 @@ def covers(estimated: DataFrame, lat: str, lon: str) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def inside(shape: pd.Series, y: pd.Series, x: pd.Series) -> pd.Series:
-        known: dict = {}
-        out = []
-        for w, b, a in zip(shape, y, x, strict=True):
-            if w is None or a != a or b != b:
-                out.append(None)
-                continue
-            if w not in known:
-                if len(known) > 256:
-                    known.clear()
-                known[w] = g.from_wkb(w)
-            out.append(bool(g.contains(known[w], a, b, boundary=True)[0]))
+        out = np.full(len(shape), None, object)
+        known = (shape.notna() & y.notna() & x.notna()).to_numpy()
+        places: dict[bytes, list[int]] = {}
+        for i in np.nonzero(known)[0].tolist():
+            places.setdefault(shape.iat[i], []).append(i)
+        px, py = x.to_numpy(float), y.to_numpy(float)
+        for w, at in places.items():  # all places of a shape at once
+            out[at] = g.contains(g.from_wkb(w), px[at], py[at], boundary=True)
         return pd.Series(out, dtype=object)
 
     return estimated.withColumn("inside", inside("geometry", lat, lon))

@@ -24,7 +24,8 @@ STREAM, BATCH = "stream", "batch"
 PHASE = {1: STREAM, 3: STREAM, 5: BATCH, 2: BATCH}
 MARGIN_CAP = 1e6
 EVIDENCE_VERSION = 1
-#: Evidence must not tell what only the ground truth knows.
+#: Parts of keys that evidence must not have, as they tell what only the ground truth knows, and keys
+#: that every evidence has itself.
 FORBIDDEN_KEYS = ("lat", "lon", "true_location", "location", "agent_id", "agent", "injected", "partition_key", "covered")
 RESERVED_KEYS = ("v", "rule", "capped")
 ZERO_DISTANCE_M = 1.0

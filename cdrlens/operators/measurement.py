@@ -136,6 +136,23 @@ def recall_counts(findings: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", F.col("injected_rule").alias("rule_id")).agg(F.count("*").alias("injected"), F.count_if("hit").alias("caught"))
 
 
+def finding_counts(findings: DataFrame, truth: DataFrame) -> DataFrame:
+    """:func:`precision_counts` and :func:`recall_counts` in one row a run and rule, from one pass over the
+    findings: an event's canonical rules meet its injected rule, and both sides count towards their rule."""
+    own = findings.filter("suppressed_by is null").groupBy(*KEY).agg(F.collect_list("rule_id").alias("rules"))  # one a rule
+    both = own.join(truth.filter("injected_rule is not null").select(*KEY, "injected_rule"), KEY, "full")
+    none, one, rule = F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("injected_rule")
+
+    def row(of: Column, found: Column, right: Column, injected: Column, caught: Column) -> Column:
+        return F.struct(of.alias("rule_id"), found.alias("findings"), right.alias("true_positives"), injected.alias("injected"), caught.alias("caught"))
+
+    rules = F.coalesce("rules", F.array().cast("array<int>"))
+    found = F.transform(rules, lambda r: row(r, one, F.coalesce((r == rule).cast("long"), none), none, none))
+    injected = F.array(row(rule, none, none, one, F.array_contains(rules, rule).cast("long")))
+    each = both.select("run_id", F.explode(F.concat(found, F.when(rule.isNotNull(), injected).otherwise(F.filter(injected, lambda x: F.lit(False))))).alias("c"))
+    return each.groupBy("run_id", F.col("c.rule_id").alias("rule_id")).agg(*[F.sum(f"c.{n}").alias(n) for n in ("findings", "true_positives", "injected", "caught")])
+
+
 def confusion(findings: DataFrame, truth: DataFrame) -> DataFrame:
     """Per run, rule and injected rule: canonical and suppressed findings; a null injected rule first."""
     rows = findings.join(truth.select(*KEY, "injected_rule"), KEY, "left")
@@ -149,7 +166,7 @@ def precision_recall(findings: DataFrame, truth: DataFrame, runs: DataFrame, min
     spark = findings.sparkSession
     rules = spark.createDataFrame([(r, n, r in EVENT_ANCHORED) for r, n in NAMES.items()], "rule_id int, rule_name string, anchored boolean")
     rows = runs.select("run_id", "scenario").crossJoin(F.broadcast(rules))
-    rows = rows.join(precision_counts(findings, truth), ["run_id", "rule_id"], "left").join(recall_counts(findings, truth), ["run_id", "rule_id"], "left")
+    rows = rows.join(finding_counts(findings, truth), ["run_id", "rule_id"], "left")
     rows = rows.fillna(0, ["findings", "true_positives", "injected", "caught"])
     judged = F.col("anchored") & (F.col("findings") > 0)
     low, high = wilson(F.col("true_positives"), F.col("findings"))

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.geo import haversine_m
+from ..functions.mathops import COL
 from ..runtime import ship
 
 MAX_GEOMETRIES, K_ANONYMITY = 500, 5
@@ -33,6 +39,45 @@ class NotFound(LookupError):
     """The run doesn't exist."""
 
 
+class OutOfTime(TimeoutError):
+    """The answer took longer than a request may."""
+
+
+#: Seconds that a request may take.
+REQUEST_S = 15.0
+
+
+def within(seconds: float, spark: SparkSession, call: Callable):
+    """``call()``, if it ends in time; else its jobs are cancelled and :class:`OutOfTime` is raised."""
+    done, group = [], f"request-{uuid.uuid4().hex}"
+
+    def work() -> None:
+        spark.sparkContext.setJobGroup(group, "request", interruptOnCancel=True)
+        try:
+            done.append((True, call()))
+        except Exception as e:  # handed to the caller
+            done.append((False, e))
+
+    thread = InheritableThread(target=work)
+    thread.daemon = True
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        ended = threading.Event()
+        while thread.is_alive() and not ended.wait(0.05):  # a job may be submitted after the first cancelling
+            spark.sparkContext.cancelJobGroup(group)
+        raise OutOfTime(f"no answer in {seconds:g} s")
+    ok, out = done[0]
+    if not ok:
+        raise out
+    return out
+
+
+def require_run(runs: DataFrame, run_id: str) -> None:
+    if _run(runs, run_id).limit(1).count() == 0:
+        raise NotFound(f"run {run_id} doesn't exist")
+
+
 #: What an error is to a client.
 def status_of(error: Exception) -> int:
     return 400 if isinstance(error, BadRequest) else 404 if isinstance(error, NotFound) else 500
@@ -199,7 +244,8 @@ def collection(made: DataFrame, limit: int = MAX_GEOMETRIES, hint: str = "narrow
     return '{"type":"FeatureCollection","features":[' + ",".join(sorted(r["feature"] for r in rows)) + "]}"
 
 
-def nearby_sites(inventory: DataFrame, run_id: str, x: float, y: float, radius_m: float, limit: int = 50) -> DataFrame:
-    """Sites within a radius of one point of the plane, nearest first."""
-    out = _run(inventory, run_id).select("site_id", F.hypot(F.col("x") - x, F.col("y") - y).alias("distance_m")).distinct()
+def nearby_sites(inventory: DataFrame, run_id: str, lat: float, lon: float, radius_m: float, limit: int = 50) -> DataFrame:
+    """Sites within a radius of a place on the sphere, nearest first."""
+    d = haversine_m(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"), COL)
+    out = _run(inventory, run_id).select("site_id", d.alias("distance_m")).distinct()
     return out.filter(F.col("distance_m") <= radius_m).orderBy("distance_m", "site_id").limit(limit)

@@ -325,17 +325,6 @@ def _(a):
     return service.suppressed_cells(a.records, a.cells, RUN, k=2)
 
 
-@query("cell_features", None)
-def _(a):
-    rows = service.cells(a.cells, RUN, BOX)
-    return service.features(rows, service.point(F.col("lat"), F.col("lon")), ["cell_id", "azimuth", "freq_mhz", "r_max_m", "model_type"])
-
-
-@query("nearby_sites", f"WITH {_PLACED} SELECT site_id, round(d, 4) AS distance_m FROM (SELECT DISTINCT site_id, sqrt((x - 20000) * (x - 20000) + (y - 20000) * (y - 20000)) AS d FROM placed WHERE run_id = '{RUN}') WHERE d <= 9000 ORDER BY d, site_id LIMIT 50", _T)
-def _(a):
-    return service.nearby_sites(_placed(a), RUN, 20_000.0, 20_000.0, 9_000.0).select("site_id", *_rounded("distance_m", digits=4))
-
-
 # ---- functions
 @query("haversine", f"SELECT e.event_id, e.method, e.confidence, round({_DIST}, 4) AS distance_m FROM estimates e JOIN truth g ON g.run_id = e.run_id AND g.event_id = e.event_id", _ALL)
 def _(a):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,17 @@ from pyspark.sql import functions as F
 from ..schemas import TABLES, Table, event_date
 
 
+#: Seconds that noting an access may take a caller.
+AUDIT_S = 3.0
+
+
 class Store:
     """The tables of one root folder, in any store Spark reaches."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        #: Accesses that couldn't be noted.
+        self.audits_dropped = 0
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -58,6 +65,16 @@ class Store:
         (writer.partitionBy(*table.partitions) if table.partitions else writer).parquet(self.path(name))
         return bad
 
+    def reject(self, name: str, rows: DataFrame, batch: str) -> None:
+        """Keep rows (as JSON in ``row``) that didn't become any of the table's; a repeated batch replaces its own."""
+        rows.select("row").write.mode("overwrite").json(f"{self.path(name)}_rejected/{batch}")
+
+    def rejected(self, name: str) -> DataFrame:
+        """``row``: all rows that were kept aside, each once however often it was delivered."""
+        if not self.exists(f"{name}_rejected"):
+            return self.spark.createDataFrame([], "row string")
+        return self.spark.read.schema("row string").option("recursiveFileLookup", "true").json(f"{self.path(name)}_rejected").distinct()
+
     def overwrite_run(self, name: str, df: DataFrame) -> None:
         """Replace what the table has of the runs in ``df``: an upsert of whole runs, safe to repeat."""
         table = TABLES[name]
@@ -110,14 +127,24 @@ class Store:
         out = self.read("findings").filter(F.col("run_id") == run_id)
         return out.agg(F.count("*").alias("findings"), F.count_if(F.col("suppressed_by").isNull()).alias("canonical"))
 
-    def audit(self, principal: str, action: str, resource: str, run_id: str | None = None, detail: str = "{}") -> bool:
-        """Note an access, as well as it goes: failing to is told by the result, never raised."""
-        row = (time.time_ns() // 1000, run_id, principal, action, resource, detail)
-        try:
-            self.spark.createDataFrame([row], TABLES["audit"].schema).write.mode("append").json(self.path("audit"))
-            return True
-        except Exception:
-            return False
+    def audit(self, principal: str, action: str, resource: str, run_id: str | None = None, detail: str = "{}", timeout_s: float = AUDIT_S) -> bool:
+        """Note an access, as well as it goes in ``timeout_s``: failing to is told by the result and counted in
+        ``audits_dropped``, never raised, and a slow note doesn't keep the caller waiting."""
+        row, noted = (time.time_ns() // 1000, run_id, principal, action, resource, detail), []
+
+        def write() -> None:
+            try:
+                self.spark.createDataFrame([row], TABLES["audit"].schema).write.mode("append").json(self.path("audit"))
+                noted.append(True)
+            except Exception:  # told by the result
+                pass
+
+        if action and resource:
+            thread = threading.Thread(target=write, daemon=True)
+            thread.start()
+            thread.join(timeout_s)
+        self.audits_dropped += not noted
+        return bool(noted)
 
     def inventory(self, run_id: str, fallback: DataFrame | None = None) -> DataFrame:
         """A run's cells by latitude, longitude and azimuth; from ``fallback`` if the store has none."""
@@ -125,3 +152,36 @@ class Store:
         if fallback is not None and own.limit(1).count() == 0:
             own = fallback.filter(F.col("run_id") == run_id)
         return own.orderBy("lat", "lon", "azimuth")
+
+
+#: Tables that each role may read, and those it may add to. Rules and kernel never see the truth.
+READABLE = {
+    "analysis": ("cells", "records", "runs", "estimates"),
+    "integrity": ("cells", "records", "runs", "findings"),
+    "validation": ("truth", "estimates", "records", "cells", "findings", "runs", "metrics"),
+    "persister": ("truth", "runs"),
+}
+WRITABLE = {"analysis": ("estimates", "audit"), "integrity": ("findings", "audit"), "validation": ("metrics", "audit"), "persister": ("truth", "audit")}
+
+
+class View:
+    """A store as a role may use it: reading or adding to any other table is a PermissionError."""
+
+    def __init__(self, store: Store, role: str):
+        self._store, self.role = store, role
+
+    def read(self, name: str) -> DataFrame:
+        if name not in READABLE[self.role]:
+            raise PermissionError(f"{self.role} may not read {name}")
+        return self._store.read(name)
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        if name not in WRITABLE[self.role]:
+            raise PermissionError(f"{self.role} may not add to {name}")
+        return self._store.append(name, df)
+
+
+def views(store: Store, role: str) -> View:
+    if role not in READABLE:
+        raise ValueError(f"role must be one of {sorted(READABLE)}")
+    return View(store, role)

@@ -18,10 +18,11 @@ def time_us(text: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(text))
 
 
-def encode_records(df: DataFrame) -> DataFrame:
-    """``key, value`` of each record: keyed by subscriber, so that a partition keeps a subscriber's order."""
+def encode_records(df: DataFrame, *keep: str) -> DataFrame:
+    """``key, value`` of each record: keyed by subscriber, so that a partition keeps a subscriber's order; columns
+    named in ``keep`` pass beside them."""
     body = F.struct("run_id", "event_id", clock.text("time_us").alias("time"), F.col("subscriber").alias("pseudo_msisdn"), F.col("device").alias("pseudo_imei"), "event_type", "cell_id", "ta_value", "scenario")
-    return df.select(F.col("subscriber").alias("key"), F.to_json(body).alias("value"))
+    return df.select(F.col("subscriber").alias("key"), F.to_json(body).alias("value"), *keep)
 
 
 def encode_truth(df: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ exactly-once by writing each batch through the store's duplicate-free append.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,21 +54,23 @@ def write_messages(messages: DataFrame, path: str, partitions: int = 4) -> None:
 def stored_records(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decoder of record messages for :func:`persist`: the offset is kept as the arrival order, which
     holds for a subscriber because its messages share a partition."""
-    return wire.decode_records(messages.select("value", F.col("offset").alias("seq")), ["seq"])
+    return wire.decode_records(messages.select("value", "partition", F.col("offset").alias("seq")), ["seq"])
 
 
 def persist(messages: DataFrame, decode: Callable, store: Store, table: str, checkpoint: str, run_id: str | None = None) -> StreamingQuery:
     """Decode messages and append them to a table batch by batch; what can't be decoded or breaks the
-    table's conditions goes to ``<table>_rejected``. Ends when all that is there was read."""
+    table's conditions goes to ``<table>_rejected``, where it counts once (:meth:`Store.rejected`) however often
+    it comes. Ends when all that is there was read."""
+    of = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()  # read once for the table and the rejects
         try:
             good, bad = decode(batch)
             good = good.filter(F.col("run_id") == run_id) if run_id else good
             broken = store.append(table, good)
             rejects = bad.select(F.to_json(F.struct("*")).alias("row")).unionByName(broken.select(F.to_json(F.struct("*")).alias("row")))
-            rejects.write.mode("append").json(store.path(f"{table}_rejected"))
+            store.reject(table, rejects, f"{of}-{number}")
         finally:
             batch.unpersist()
 
@@ -81,14 +85,17 @@ def _backsteps(tolerance_us: int):
         top, event = state.get if state.exists else (None, None)
         # order within a micro-batch isn't kept by the shuffle: arrival numbers restore it
         rows = pd.concat(list(frames)).sort_values(["partition", "offset"], kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            if top is None or r.time_us > top:
-                top, event = r.time_us, r.event_id
-            elif top - r.time_us > tolerance_us:
-                out.append((key[0], r.event_id, r.time_us, r.scenario, top, event))
-        state.update((int(top), event))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+        times = rows["time_us"].to_numpy(np.int64)
+        events = np.concatenate([[event], rows["event_id"].to_numpy(object)])
+        marks = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if top is None else top], times]))
+        # the place of the event that set each mark: where it last rose
+        set_at = np.maximum.accumulate(np.where(np.concatenate([[True], marks[1:] > marks[:-1]]), np.arange(len(marks)), 0))
+        # differences only where there is a mark: the first row of a new subscriber has none
+        late = np.nonzero((times < marks[:-1]) & (marks[:-1] - np.minimum(times, marks[:-1]) > tolerance_us))[0]
+        late = late[(set_at[late] > 0) | (top is not None)]
+        state.update((int(marks[-1]), str(events[set_at[-1]])))
+        found = rows.iloc[late]
+        yield pd.DataFrame({"run_id": key[0], "event_id": found["event_id"].to_numpy(), "time_us": times[late], "scenario": found["scenario"].to_numpy(), "watermark": marks[:-1][late], "prev_event_id": events[set_at[late]]})
 
     return step
 
@@ -132,6 +139,14 @@ def detect_stream(messages: DataFrame, store: Store, cells: DataFrame, run_id: s
     return stream_hits(records, cells, rules).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publish_to_kafka(messages: DataFrame, servers: str, topic: str) -> None:
+    """Publish (key, value) rows to a Kafka topic, where the connector is on the class path: acknowledged by all
+    replicas, a key's messages in one partition, in the order of ``seq`` within each task."""
+    part = messages.repartition(F.col("key")).sortWithinPartitions("seq").select("key", "value")
+    writer = part.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    writer.option("kafka.acks", "all").option("kafka.enable.idempotence", "true").save()
+
+
 class Progress:
     """Rows read and rows still waiting, from a query's progress reports."""
 
