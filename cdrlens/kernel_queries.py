@@ -91,7 +91,7 @@ asked AS (SELECT DISTINCT r.run_id, r.cell_id, r.ta_value FROM records r JOIN ce
 parts AS (SELECT a.ta_value, w.*, w.w * CASE WHEN a.ta_value IS NULL THEN 1 ELSE coalesce(s.share, 0) END AS v FROM asked a JOIN weights w ON w.run_id = a.run_id AND w.cell_id = a.cell_id
   LEFT JOIN shares s ON s.run_id = a.run_id AND s.cell_id = a.cell_id AND s.ta = a.ta_value AND s.q = w.q AND s.r = w.r),
 mass AS (SELECT *, v / sum(v) OVER (PARTITION BY run_id, cell_id, ta_value) AS m FROM parts),
-held AS (SELECT *, sum(m) OVER (PARTITION BY run_id, cell_id, ta_value ORDER BY m DESC, r, q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - m AS before FROM mass),
+held AS (SELECT *, sum(m) OVER (PARTITION BY run_id, cell_id, ta_value ORDER BY round(m, 15) DESC, r, q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - m AS before FROM mass),
 ranked AS (SELECT *, CASE WHEN before < 0.5 - 1e-9 THEN 1 WHEN before < 0.9 - 1e-9 THEN 2 WHEN before < 0.95 - 1e-9 THEN 3 ELSE 4 END AS level FROM held)"""
 
 
@@ -143,12 +143,12 @@ def _(a):
 
 @query(
     "region_masses",
-    f"WITH {_KERNEL} SELECT run_id, cell_id, ta_value, count(*) AS hexagons, round(sum(m), 9) AS total, round(max(m), 9) AS most, round(sum(m * m), 9) AS spread FROM ranked WHERE v > 0 GROUP BY ALL",
+    f"WITH {_KERNEL} SELECT run_id, cell_id, ta_value, count(*) AS hexagons, round(sum(m), 9) AS total, round(max(m), 6) AS most, round(sum(m * m), 6) AS spread FROM ranked WHERE v > 0 GROUP BY ALL",
     _T,
 )
 def _(a):
     made = estimation.hexagon_masses(a.records, a.cells, SETTINGS).filter("mass > 0")
-    return made.groupBy("run_id", "cell_id", "ta_value").agg(F.count("*").alias("hexagons"), F.round(F.sum("mass"), 9).alias("total"), F.round(F.max("mass"), 9).alias("most"), F.round(F.sum(F.col("mass") * F.col("mass")), 9).alias("spread"))
+    return made.groupBy("run_id", "cell_id", "ta_value").agg(F.count("*").alias("hexagons"), F.round(F.sum("mass"), 9).alias("total"), F.round(F.max("mass"), 6).alias("most"), F.round(F.sum(F.col("mass") * F.col("mass")), 6).alias("spread"))
 
 
 @query("density_contours", f"WITH {_KERNEL} SELECT run_id, cell_id, ta_value, {_NAMED}::DOUBLE AS level, count(*) AS hexagons, sum(q)::BIGINT AS sum_q, sum(r)::BIGINT AS sum_r FROM ranked WHERE level < 4 GROUP BY ALL", _T)

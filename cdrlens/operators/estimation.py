@@ -25,6 +25,8 @@ from ..runtime import ship
 LEVELS = (0.50, 0.90, 0.95)
 SENTINEL = -1.0
 MASS_TOLERANCE = 1e-9
+#: Decimal digits in which masses are compared.
+TIE_DIGITS = 15
 #: Rows of a frame handed back to Spark, about.
 FRAME_ROWS = 2000
 
@@ -154,8 +156,9 @@ class CellKernel:
         return weight / total, used
 
     def ranked(self, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hexagons from the most to the least likely (ties by r, then q), and the mass up to each."""
-        order = np.lexsort((self.q, self.r, -mass))
+        """Hexagons from the most to the least likely, and the mass up to each. Ties go by r, then q; masses that
+        differ by rounding only, as those of mirrored hexagons, are ties."""
+        order = np.lexsort((self.q, self.r, -np.round(mass, TIE_DIGITS)))
         return order, np.cumsum(mass[order])
 
     def contour(self, mass: np.ndarray, level: float, ranked=None) -> np.ndarray:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from .quantiles import quantiles
 
 INVENTORY, VELOCITY, TIME_ORDER, TRAJECTORY, ACTIVITY = 1, 2, 3, 4, 5
 #: Rule names, which rules are about single events, and their precedence.
@@ -29,6 +30,9 @@ EVIDENCE_VERSION = 1
 FORBIDDEN_KEYS = ("lat", "lon", "true_location", "location", "agent_id", "agent", "injected", "partition_key", "covered")
 RESERVED_KEYS = ("v", "rule", "capped")
 ZERO_DISTANCE_M = 1.0
+#: Arrival numbers and microseconds of event time to a block: a subscriber's rows are worked on block by block, so that
+#: one with a third of all records spreads over tasks.
+ARRIVAL_BLOCK, TIME_BLOCK_US = 100_000, 86_400_000_000
 
 
 @dataclass(frozen=True)
@@ -90,10 +94,42 @@ def require_inventory(cells: DataFrame, run_id: str) -> None:
         raise ValueError(f"run {run_id} has an empty cell inventory")
 
 
-def with_watermark_before(records: DataFrame, block: int | None = None) -> DataFrame:
+def around(rows: DataFrame, key: list[str], order: list[str], columns: list[str], later: int = 0, block_us: int = TIME_BLOCK_US) -> DataFrame:
+    """``rows`` with ``before_<c>`` of the row before in the order (time first) and ``after<k>_<c>`` of the first
+    ``later`` rows after it, for each of ``columns``; null where there is none.
+
+    Rows are cut into blocks of event time. Windows run within a block; what lies over its ends comes from the
+    last and the first rows of the blocks beside it, a row a block.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(order[0]) / block_us))
+    own = F.struct(*order, *[c for c in columns if c not in order])
+    inside = Window.partitionBy(*key, "_block").orderBy(*order)
+    along = Window.partitionBy(*key).orderBy("_block")
+    ranked = rows.select(*key, "_block", own.alias("_row"), F.row_number().over(inside).alias("_n"))
+    ends = ranked.groupBy(*key, "_block").agg(F.max("_row").alias("_last"), F.array_sort(F.collect_list(F.when(F.col("_n") <= max(later, 1), F.col("_row")))).alias("_first"))
+    # the blocks after may hold fewer rows than are wanted
+    follow = F.array(*[F.coalesce(F.lead("_first", k).over(along), F.array().cast(ends.schema["_first"].dataType)) for k in range(1, later + 1)]) if later else None
+    ends = ends.select(*key, "_block", F.lag("_last").over(along).alias("_prior"), *([F.flatten(follow).alias("_next")] if later else []))
+    rows = rows.withColumn("_lag", F.lag(own).over(inside))
+    for k in range(1, later + 1):
+        rows = rows.withColumn(f"_lead{k}", F.lead(own, k).over(inside))
+    rows = rows.withColumn("_left", F.count("*").over(Window.partitionBy(*key, "_block")) - F.row_number().over(inside)) if later else rows
+    out = rows.join(ends, [*key, "_block"])
+    made = out.withColumn("_b", F.coalesce("_lag", "_prior"))
+    for k in range(1, later + 1):
+        made = made.withColumn(f"_a{k}", F.coalesce(f"_lead{k}", F.get("_next", (F.lit(k - 1) - F.col("_left")).cast("int"))))
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    return made.select(*kept, *[F.col(f"_b.{c}").alias(f"before_{c}") for c in columns], *[F.col(f"_a{k}.{c}").alias(f"after{k}_{c}") for k in range(1, later + 1) for c in columns])
+
+
+def before(rows: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    return around(rows, key, order, columns)
+
+
+def with_watermark_before(records: DataFrame, block: int | None = ARRIVAL_BLOCK) -> DataFrame:
     """``records`` with the largest earlier time of the same subscriber in arrival order, and its event.
 
-    The frame ends one row before, so it is one pass over each subscriber's rows. With ``block``, a
+    The frame ends one row before, so it is one pass over each subscriber's rows. Unless ``block`` is null, a
     subscriber's rows are cut into runs of that many arrival numbers: each run's maximum is found apart,
     maxima are carried over runs, and rows look only at their own run, so that a hot subscriber spreads.
     """
@@ -110,7 +146,7 @@ def with_watermark_before(records: DataFrame, block: int | None = None) -> DataF
     return out.withColumn("_w", F.greatest("_w", "_carried")).drop("_b", "_carried")
 
 
-def time_backsteps(records: DataFrame, rules: Rules = Rules(), block: int | None = None) -> DataFrame:
+def time_backsteps(records: DataFrame, rules: Rules = Rules(), block: int | None = ARRIVAL_BLOCK) -> DataFrame:
     """Rule 3: the record is earlier than one of its subscriber that arrived before it. Equal times are
     no violation, and a violating record doesn't lower the mark; records without subscriber are passed over."""
     marked = with_watermark_before(records.filter(F.length("subscriber") > 0), block)
@@ -148,11 +184,10 @@ def implied_speeds(records: DataFrame, cells: DataFrame) -> DataFrame:
     else the earlier one if the one after the pair says so, else nobody.
     """
     at = records.join(cells.select("run_id", "cell_id", "x", "y"), ["run_id", "cell_id"])
-    chain = Window.partitionBy("run_id", "subscriber").orderBy("time_us", "event_id")
     own = ["run_id", "subscriber", "event_id", "time_us", "scenario", "cell_id", "x", "y"]
-    after = [F.lead(c, 1).over(chain).alias(f"b_{n}") for c, n in (("event_id", "event"), ("time_us", "time_us"), ("scenario", "scenario"), ("cell_id", "cell"), ("x", "x"), ("y", "y"))]
-    around = [F.lag(c, 1).over(chain).alias(f"prev_{c}") for c in ("x", "y")] + [F.lead(c, 2).over(chain).alias(f"next_{c}") for c in ("x", "y")]
-    rows = at.select(*own, *after, *around).filter("b_event is not null")
+    rows = around(at.select(*own), ["run_id", "subscriber"], ["time_us", "event_id"], ["event_id", "time_us", "scenario", "cell_id", "x", "y"], later=2)
+    after = [F.col(f"after1_{c}").alias(f"b_{n}") for c, n in (("event_id", "event"), ("time_us", "time_us"), ("scenario", "scenario"), ("cell_id", "cell"), ("x", "x"), ("y", "y"))]
+    rows = rows.select(*own, *after, *[F.col(f"before_{c}").alias(f"prev_{c}") for c in ("x", "y")], *[F.col(f"after2_{c}").alias(f"next_{c}") for c in ("x", "y")]).filter("b_event is not null")
 
     def apart(u: str, v: str) -> Column:
         dx, dy = F.col(f"{u}x") - F.col(f"{v}x"), F.col(f"{u}y") - F.col(f"{v}y")
@@ -236,7 +271,7 @@ RULE_FUNCTIONS = {
 }
 
 
-def phase_hits(phase: str, records: DataFrame, cells: DataFrame, rules: Rules = Rules(), which: tuple[int, ...] | None = None, block: int | None = None) -> DataFrame:
+def phase_hits(phase: str, records: DataFrame, cells: DataFrame, rules: Rules = Rules(), which: tuple[int, ...] | None = None, block: int | None = ARRIVAL_BLOCK) -> DataFrame:
     """Hits of a phase's rules, or of those in ``which``; a rule of the other phase is an error."""
     own = [r for r in PRECEDENCE if PHASE.get(r) == phase]
     if not own:
@@ -250,7 +285,7 @@ def phase_hits(phase: str, records: DataFrame, cells: DataFrame, rules: Rules =
     return hits
 
 
-def detect(records: DataFrame, cells: DataFrame, rules: Rules = Rules(), block: int | None = None) -> DataFrame:
+def detect(records: DataFrame, cells: DataFrame, rules: Rules = Rules(), block: int | None = ARRIVAL_BLOCK) -> DataFrame:
     """Findings of both phases over stored records. cells: run_id, cell_id, x, y."""
     return resolve(phase_hits(STREAM, records, cells, rules, block=block).unionByName(phase_hits(BATCH, records, cells, rules)))
 
@@ -258,6 +293,5 @@ def detect(records: DataFrame, cells: DataFrame, rules: Rules = Rules(), block:
 def consecutive_gaps(records: DataFrame) -> DataFrame:
     """Per run: number, median and 95th percentile of the seconds between a subscriber's records (an
     aggregate view of missing records; it makes no findings)."""
-    order = Window.partitionBy("run_id", "subscriber").orderBy("time_us", "event_id")
-    gap = (F.col("time_us") - F.lag("time_us").over(order)) / F.lit(1e6)
-    return records.withColumn("gap", gap).filter("gap is not null").groupBy("run_id").agg(F.count("*").alias("gaps"), F.percentile("gap", 0.5).alias("median_gap_s"), F.percentile("gap", 0.95).alias("p95_gap_s"))
+    rows = before(records, ["run_id", "subscriber"], ["time_us", "event_id"], ["time_us"]).withColumn("gap", (F.col("time_us") - F.col("before_time_us")) / F.lit(1e6)).filter("gap is not null")
+    return quantiles(rows, ["run_id"], {"median_gap_s": ("gap", 0.5), "p95_gap_s": ("gap", 0.95)}).join(rows.groupBy("run_id").agg(F.count("*").alias("gaps")), "run_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_m
 from ..functions.mathops import COL
 from .integrity import EVENT_ANCHORED, NAMES
+from .quantiles import quantiles
 
 CALIBRATION, VALIDATION = "C", "V"
 #: The 97.5 % point of the normal distribution, and what a verdict needs.
@@ -43,32 +44,27 @@ def coverage(estimates: DataFrame, truth: DataFrame, inside: Column, key: str =
 def areas(estimates: DataFrame, truth: DataFrame, key: str = VALIDATION) -> DataFrame:
     """Median and 90th percentile of area, median and 95th of parts, share repaired; all events count."""
     rows = _measured(estimates, truth, key, False)
-    return rows.groupBy("run_id", "method", "confidence").agg(
-        F.percentile("area_km2", 0.5).alias("median_area_km2"), F.percentile("area_km2", 0.9).alias("p90_area_km2"),
-        F.percentile("part_count", 0.5).alias("median_part_count"), F.percentile("part_count", 0.95).alias("p95_part_count"),
-        F.avg(F.col("repaired").cast("int")).alias("repaired_ratio"),
-    )
+    by = ["run_id", "method", "confidence"]
+    wanted = {"median_area_km2": ("area_km2", 0.5), "p90_area_km2": ("area_km2", 0.9), "median_part_count": ("part_count", 0.5), "p95_part_count": ("part_count", 0.95)}
+    return quantiles(rows, by, wanted).join(rows.groupBy(*by).agg(F.avg(F.col("repaired").cast("int")).alias("repaired_ratio")), by)
 
 
 def errors(estimates: DataFrame, truth: DataFrame, key: str = VALIDATION) -> DataFrame:
     """Percentiles of the distance between centroid and true place; the median goes by two names."""
     rows = _measured(estimates, truth, key, True)
     d = haversine_m(F.col("centroid_lat"), F.col("centroid_lon"), F.col("lat"), F.col("lon"), COL)
-    rows = rows.withColumn("d", d)
-    middle = F.percentile("d", 0.5)
-    return rows.groupBy("run_id", "method", "confidence").agg(middle.alias("median_haversine_m"), middle.alias("r50_m"), F.percentile("d", 0.95).alias("r95_m"))
+    out = quantiles(rows.withColumn("d", d), ["run_id", "method", "confidence"], {"r50_m": ("d", 0.5), "r95_m": ("d", 0.95)})
+    return out.withColumn("median_haversine_m", F.col("r50_m"))
 
 
 def reductions(estimates: DataFrame, truth: DataFrame, confidence: float = MODEL_CONFIDENCE) -> DataFrame:
-    """Per run: median areas of both baselines and of the model, and by how much the model's is smaller.
-    One pass with conditional percentiles; always over the validation part."""
+    """Per run: median areas of both baselines and of the model, and by how much the model's is smaller;
+    always over the validation part."""
     rows = _measured(estimates, truth, VALIDATION, False)
-
-    def median(which: Column) -> Column:
-        return F.percentile(F.when(which, F.col("area_km2")), 0.5)
-
     model = (F.col("method") == "M") & (F.col("confidence") == confidence)
-    out = rows.groupBy("run_id").agg(median(F.col("method") == "B0").alias("b0_area_km2"), median(F.col("method") == "B1").alias("b1_area_km2"), median(model).alias("m_area_km2"), F.count_if(model).alias("n_events"))
+    for name, which in (("b0", F.col("method") == "B0"), ("b1", F.col("method") == "B1"), ("m", model)):
+        rows = rows.withColumn(name, F.when(which, F.col("area_km2")))
+    out = quantiles(rows, ["run_id"], {f"{n}_area_km2": (n, 0.5) for n in ("b0", "b1", "m")}).join(rows.groupBy("run_id").agg(F.count_if(model).alias("n_events")), "run_id")
 
     def less(base: str) -> Column:
         return 1 - F.try_divide("m_area_km2", base)

@@ -104,6 +104,11 @@ def _(a):
     return _hits(integrity.time_backsteps(a.records, RULES))
 
 
+@query("rule3_time_order_whole", f"SELECT {_HIT} FROM ({_RULE3})", _T)
+def _(a):
+    return _hits(integrity.time_backsteps(a.records, RULES, block=None))
+
+
 @query("rule3_time_order_in_blocks", f"SELECT {_HIT} FROM ({_RULE3})", _T)
 def _(a):
     return _hits(integrity.time_backsteps(a.records, RULES, block=1000))

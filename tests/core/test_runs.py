@@ -95,7 +95,7 @@ def test_neighbours_like_brute_force(spark, made):
         cx, cy = g.Sector(c.x, c.y, c.azimuth, c.beam_width, c.r_max_m).centroid()
         near = [(-float(estimation._cell_power(o, cx, cy, 1.5)), o.cell_id, o.x) for _, o in cells.iterrows() if o.cell_id != c.cell_id and np.hypot(cx - o.x, cy - o.y) <= o.r_max_m]
         best = sorted(near)[:8]
-        assert [round(n.x, 6) for n in got[c.cell_id]] == [round(b[2], 6) for b in best]
+        assert [round(n.power, 6) for n in got[c.cell_id]] == [round(-b[0], 6) for b in best]
 
 
 def test_estimates(spark, made):
