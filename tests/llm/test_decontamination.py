@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,56 @@ def test_matches_are_longest_and_placed():
     assert sorted(dc.matches([text], dc.Block([("b", item)], 10))[0]) == [("b", 0, 27, 12), ("b", 5, 1, 25)]
 
 
+def brute_longest(text, items, window):
+    """For each place and item the longest match there, without those that lie in the match a word before."""
+    ws, out = words(text), set()
+    for name, item in items:
+        iw = words(item)
+        if not iw:
+            continue
+        best = []
+        for b in range(len(ws)):
+            n = [next((k for k in range(min(len(iw) - a, len(ws) - b)) if ws[b + k] != iw[a + k]), min(len(iw) - a, len(ws) - b)) for a in range(len(iw))]
+            best.append(max(n) if max(n) >= min(window, len(iw)) else 0)
+        out |= {(name, b, n) for b, n in enumerate(best) if n and not (b and best[b - 1] == n + 1)}
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc ", max_size=60), min_size=1, max_size=3), st.lists(st.text("abc ", max_size=60), min_size=1, max_size=4))
+def test_longest_matches_like_brute_force(texts, items):
+    items = list(enumerate(items))
+    usable = [(n, dc.words_of(i.encode())) for n, i in items if words(i)]
+    if usable:
+        split = dict(usable)
+        for text, spans in zip(texts, dc.matches([dc.words_of(t.encode()) for t in texts], dc.Block(usable, 3)), strict=True):
+            assert {(i, b, n) for i, _, b, n in spans} == brute_longest(text, items, 3)
+            assert all(dc.words_of(text.encode())[b : b + n] == split[i][a : a + n] for i, a, b, n in spans)
+
+
+def test_repeated_words_and_very_long_texts():
+    tracemalloc.start()
+    for n in (20_000, 200_000):
+        spans = dc.matches([[b"a"] * n], dc.Block([(1, [b"a"] * 200), (2, [b"a"] * 150 + [b"b"] * 50)], 10))[0]
+        assert max(s[3] for s in spans) == 200 and {s[0] for s in spans} == {1, 2} and len(spans) <= 2 * n
+    assert tracemalloc.get_traced_memory()[1] < 600 << 20
+    tracemalloc.stop()
+    item = [f"i{k}".encode() for k in range(3000)]
+    text = [f"w{k}".encode() for k in range(300_000)] + item + [f"v{k}".encode() for k in range(100_000)]
+    assert dc.matches([text], dc.Block([("b", item)], 10))[0] == [("b", 0, 300_000, 3000)]
+
+
+def test_the_sieve_loses_nothing(spark):
+    items = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(3 + k % 20))) for k in range(60)]
+    sieve = dc.Sieve(spark.createDataFrame([*items, (99, None)], "item_id long, text string"), 10)
+    hashes = dc.HashTable()
+    for k in range(200):
+        text = " ".join(f"w{(k * 11 + j * (1 + k % 3)) % 60}" for j in range(40))
+        if brute(text, items, 10)[1]:
+            assert sieve.passes(dc.words_of(text.encode()), hashes)
+    assert not sieve.passes([b"none", b"of", b"these"] * 10, hashes)
+
+
 def tables(spark):
     long = " ".join(f"q{k}" for k in range(30))
     docs = [(1, f"Intro words. {long.upper()} end", "a"), (2, "nothing here", "b"), (2, "nothing here", "b"), (None, None, None), (4, "", "d"), (5, "short ITEM", "e"), (6, " ".join(f"q{k}" for k in range(9)), "f")]
