@@ -5,11 +5,12 @@ second orders the places, and coordinate k is the minimum after a circular shift
 agree on a whole band of coordinates are candidates; a link counts only if the full shingle sets say so.
 
 Everything is done on *classes*, the distinct shingle sets, so copies cost one row each. A class is
-named by 12 bytes of its set's hash and 4 bytes of its set's size. In a bucket no pairs are listed: all
-members are compared with two leaders, the links are joined to components, and only members that a
-bucket still holds in different components are compared further, in rounds with new leaders, until no
-bucket holds an uncompared pair of different components. Thus no link that would join two components is
-lost inside a bucket, while a bucket of n copies costs about 2 n comparisons.
+named by 12 bytes of its set's hash and 4 bytes of its set's size. In a bucket first all members are compared
+with two leaders and the links are joined to components; then, once, members that a bucket still holds in
+different components are compared with one another, those of its largest component with the others only.
+Thus no link that would join two components is lost inside a bucket. A bucket of n near copies costs about
+2 n comparisons; one of n classes that share a band but aren't linked (pages of one template) costs n * n / 2
+comparisons of sketches, dealt to groups of two chunks, of which only those that may be links come out.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ MISS = 1e-5
 #: Coordinates of a signature; the bands take the first, estimates take all.
 COORDINATES = 512
 #: A candidate whose estimated similarity is so many standard deviations under the threshold is no link
-#: (a chance of 4e-6 for a pair just at the threshold).
+#: (a chance of 4e-6 for a pair just at the threshold). Infinite: each candidate's full sets are compared.
 ESTIMATE_DEVIATIONS = 4.5
 #: Parts that each band's members are dealt into where they meet the band's own row.
 SALTS = 32
@@ -197,7 +198,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("class", "component")
 
 
-def _rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def _rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float, deviations: float = ESTIMATE_DEVIATIONS) -> DataFrame:
     """Pairs (a, b) of different components that some bucket of three or more holds, as far as their
     sketches allow a link; each pair comes from the first band that it shares.
 
@@ -220,7 +221,7 @@ def _rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, thresho
     others = F.sequence(F.lit(0), F.when(in_main, F.col("small")).otherwise(F.col("small") + F.col("large")) - 1)
     dealt = held.withColumn("own", own).withColumn("other", F.explode(others))
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "bands", "sketch")
-    cut = threshold - ESTIMATE_DEVIATIONS * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    cut = threshold - deviations * math.sqrt(threshold * (1 - threshold) / COORDINATES)
 
     def compare(key, table):
         import pyarrow as pa
@@ -254,7 +255,7 @@ def _rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, thresho
     return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_ROWS, size: int = SHINGLE_WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_ROWS, size: int = SHINGLE_WORDS, deviations: float = ESTIMATE_DEVIATIONS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text_key, n_shingles, component_id, kept.
 
     Documents are linked whose sets of distinct ``size``-word shingles have a Jaccard similarity of
@@ -264,7 +265,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_RO
     their component_id is their own doc_id. A null doc_id is never a component_id unless all of its
     component are null; kept is then true for each of its rows. Rows repeated whole give repeated
     results. Rows of one doc_id with different texts are linked only as their texts are. Other columns of
-    ``docs`` are ignored; an empty table gives an empty result. text_key is Spark's xxhash64 of the text.
+    ``docs`` are ignored; an empty table gives an empty result. With ``deviations`` infinite no candidate is left
+    out by its estimate. text_key is Spark's xxhash64 of the text.
     """
     spark = docs.sparkSession
     percent = round(100 * threshold)
@@ -288,7 +290,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_RO
     sets = scratch.save(_class_sets(docs, where(held.select(F.col("class").alias("a"), F.col("lo").alias("b"))), size), "sets")
     links = scratch.save(_verified(stars, sets, percent), "links")
     labels = components(links, scratch)
-    rest = _rest_pairs(held.select("class", "band"), nodes, labels, threshold)
+    rest = _rest_pairs(held.select("class", "band"), nodes, labels, threshold, deviations)
     rest = scratch.save(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     more = scratch.save(_verified(rest, sets, percent), "links")
     scratch.drop(sets, rest, stars, held)

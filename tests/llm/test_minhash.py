@@ -81,6 +81,35 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 5, 6, 7, None], key=str)
     assert minhash.near_duplicates(df.limit(0), 0.85).count() == 0
+    named = df.withColumn("own_key", df.bands).withColumn("_own_key", df.bands).withColumn("kept_doc", df.bands).withColumn("_d", df.bands)
+    kept = minhash.keep_one(named, 0.85)
+    assert kept.columns == named.columns and all(r.own_key == r._own_key == r.kept_doc == r._d == r.bands for r in kept.collect())
+
+
+def pairs_just_over(n, seed=9):
+    """Texts in pairs with a similarity of 0.85 to 0.90, and the similarities."""
+    rng, rows, found = random.Random(seed), [], []
+    while len(found) < n:
+        k = rng.randrange(120, 400)
+        words = [f"w{rng.randrange(10**7)}" for _ in range(k)]
+        other = list(words)
+        at, cut = rng.randrange(k // 4, k // 2), round(k * rng.uniform(0.04, 0.09))
+        other[at : at + cut] = [f"x{rng.randrange(10**7)}" for _ in range(cut)]
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        j = len(a & b) / len(a | b)
+        if 0.85 <= j < 0.9:
+            rows += [(2 * len(found), " ".join(words)), (2 * len(found) + 1, " ".join(other))]
+            found.append(j)
+    return rows, found
+
+
+def test_recall_just_over_the_threshold(spark):
+    rows, _ = pairs_just_over(500)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for deviations in (minhash.ESTIMATE_DEVIATIONS, float("inf")):
+        of = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 0.85, deviations=deviations).collect()}
+        assert sum(of[2 * k] == of[2 * k + 1] for k in range(500)) == 500
+        assert all(of[d] // 2 == d // 2 for d in of)
 
 
 def test_long_text(spark):
