@@ -39,8 +39,9 @@ def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang and source with the text's SentencePiece ids, their number, checksum and losslessness."""
-    return piece_fst.encoded(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"))
+    """doc_id, lang and source (where there are such columns) with the text's SentencePiece ids, their number,
+    checksum and losslessness."""
+    return piece_fst.encoded(docs.select(*[c for c in ("doc_id", "lang", "source", "text") if c in docs.columns]), vocabulary("piece_bpe_32k.model"))
 
 
 STAGES = [
