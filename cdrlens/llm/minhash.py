@@ -9,8 +9,12 @@ named by 12 bytes of its set's hash and 4 bytes of its set's size. In a bucket f
 with two leaders and the links are joined to components; then, once, members that a bucket still holds in
 different components are compared with one another, those of its largest component with the others only.
 Thus no link that would join two components is lost inside a bucket. A bucket of n near copies costs about
-2 n comparisons; one of n classes that share a band but aren't linked (pages of one template) costs n * n / 2
-comparisons of sketches, dealt to groups of two chunks, of which only those that may be links come out.
+2 n comparisons.
+
+Classes that share a band but aren't linked, as pages of one template, would cost n * n / 2 comparisons.
+Where a bucket has more than ``HOT_PAIRS`` of them, its members meet by rare shingles instead: two sets with
+a similarity of t have one of their n - ceil(t * n) + 1 rarest shingles in common (n: the set's size), which
+for pages of a template are those of the page itself. That is exact: each link of the bucket is still met.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, unused, with_text_columns
@@ -41,6 +45,8 @@ ESTIMATE_DEVIATIONS = 4.5
 SALTS = 32
 #: Members of a bucket that are compared with one another at once.
 CHUNK = 256
+#: Comparisons that a bucket may cost before its members meet by rare shingles.
+HOT_PAIRS = 4_000_000
 #: Shingles whose windows are gathered at once: what a processor's cache holds.
 GATHER = 512
 SEED = 20_011
@@ -198,18 +204,37 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("class", "component")
 
 
-def _rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float, deviations: float = ESTIMATE_DEVIATIONS) -> DataFrame:
-    """Pairs (a, b) of different components that some bucket of three or more holds, as far as their
-    sketches allow a link; each pair comes from the first band that it shares.
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return buckets.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """``band, all, main, parts`` of buckets of three or more that hold several components: members, the
+    largest component with its members, and components."""
+    sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+    return sizes.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1 and all > 2")
+
+
+def _rare(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``class, band``: buckets by the rarest shingles of each of ``members`` (class), as many as a link needs."""
+    each = sets.join(members, "class").select("class", F.size("shingles").alias("size"), F.explode("shingles").alias("band"))
+    often = each.groupBy("band").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("class").orderBy("often", "band")
+    ranked = each.join(often, "band").withColumn("place", F.row_number().over(order))
+    # whole numbers, so that no rounding makes the prefix too short
+    least = F.ceil(F.lit(round(100 * threshold)) * F.col("size") / 100)
+    return ranked.filter(F.col("place") <= F.col("size") - least + 1).select("class", "band")
+
+
+def _rest_pairs(labelled: DataFrame, nodes: DataFrame, open_: DataFrame, threshold: float, deviations: float, bands: bool = True) -> DataFrame:
+    """Pairs (a, b) of different components that some bucket in ``open_`` holds, as far as their sketches allow a
+    link; with ``bands`` each pair comes from the first band that it shares.
 
     Members of a bucket's largest component are compared with the others only, never among themselves, so
     a large group with a few outliers costs its size times the outliers. Members are dealt into chunks of
     ``CHUNK`` and each pair of chunks is a group of its own: no task holds a whole bucket of any size.
     """
     percent = round(100 * threshold)
-    labelled = buckets.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1 and all > 2")
     chunks = [F.ceil(n / CHUNK).cast("int").alias(c) for n, c in ((F.col("all") - F.col("main.n"), "small"), (F.col("main.n"), "large"))]
     open_ = open_.select("band", F.col("main.component").alias("main"), *chunks)
     # a hot band's members meet its row in SALTS tasks
@@ -233,7 +258,7 @@ def _rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, thresho
         keys = np.array(table["bands"].to_pylist(), np.int64)
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(n, -1)
         size = np.array([int.from_bytes(x[12:], "big") for x in name], np.int64)
-        at = int(np.nonzero(keys[0] == band)[0][0])
+        at = int(np.nonzero(keys[0] == band)[0][0]) if bands else 0
         out_a, out_b = [], []
         for k in range(n):
             later = np.arange(k + 1, n)
@@ -290,10 +315,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_RO
     sets = scratch.save(_class_sets(docs, where(held.select(F.col("class").alias("a"), F.col("lo").alias("b"))), size), "sets")
     links = scratch.save(_verified(stars, sets, percent), "links")
     labels = components(links, scratch)
-    rest = _rest_pairs(held.select("class", "band"), nodes, labels, threshold, deviations)
+    labelled = scratch.save(_labelled(held.select("class", "band"), labels), "labelled")
+    open_ = scratch.save(_open(labelled), "open")
+    costly = (F.col("all") - F.col("main.n")) * F.col("all") > HOT_PAIRS
+    rest = _rest_pairs(labelled, nodes, open_.filter(~costly), threshold, deviations)
+    if open_.filter(costly).limit(1).count():
+        members = labelled.join(open_.filter(costly).select("band"), "band", "left_semi").select("class").distinct()
+        rare = scratch.save(_labelled(_rare(members, sets, threshold), labels), "rare")
+        rest = rest.unionByName(_rest_pairs(rare, nodes, _open(rare), threshold, deviations, bands=False))
     rest = scratch.save(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     more = scratch.save(_verified(rest, sets, percent), "links")
-    scratch.drop(sets, rest, stars, held)
+    scratch.drop(sets, rest, stars, held, labelled, open_)
     labels = components(links.union(more), scratch)
 
     of = nodes.select("class", "least").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))

@@ -51,8 +51,41 @@ def variants(n, seed=3):
     return out
 
 
+def pages_of_a_template(n, seed=4):
+    """Texts that share most of their words and are not linked, but for some that are."""
+    rng = random.Random(seed)
+    head, tail = ([f"t{k}" for k in range(a, a + 70)] for a in (0, 100))
+    out = []
+    for k in range(n):
+        own = [f"p{k if k % 6 else k - k % 12}x{j}" for j in range(36)] + [f"z{k}"] * (k % 6 == 0)
+        out.append(" ".join(head + own + tail))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_pages_of_a_template(spark, threshold, monkeypatch):
+    """Members of costly buckets meet by rare shingles: the same components, and few pairs."""
+    rows = list(enumerate(pages_of_a_template(72) + variants(30)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(minhash, "HOT_PAIRS", 20)
+    made, real = [], minhash._rest_pairs
+
+    def seen(*args, bands=True, **kwargs):
+        out = real(*args, bands=bands, **kwargs)
+        made.append((bands, args[2].agg({"all": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(minhash, "_rest_pairs", seen)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, threshold).collect())
+    assert got == brute(rows, round(100 * threshold)) and len({g[2] for g in got}) > 50
+    assert [b for b, _ in made] == [True, False]
+
+
+@pytest.mark.parametrize("hot", [minhash.HOT_PAIRS, 5])
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
-def test_components_like_brute_force(spark, threshold, monkeypatch):
+def test_components_like_brute_force(spark, threshold, hot, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_PAIRS", hot)
     rng = random.Random(1)
     texts = variants(120) + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
     texts += texts[:30] + ["a b", "A  b", "b a", "one"]
