@@ -35,7 +35,7 @@ from .words import RaggedTable, mix64, ragged
 END_ID = 2
 #: Text bytes of a shard, about; a shard is read as a whole. Small inputs are cut finer, down to ``LEAST_BYTES``, so
 #: that each core has ``SHARDS_A_CORE``.
-SHARD_BYTES, LEAST_BYTES, SHARDS_A_CORE = 256 << 20, 12 << 20, 4
+SHARD_BYTES, LEAST_BYTES, SHARDS_A_CORE = 128 << 20, 12 << 20, 8
 #: Shards whose ids are summed up together on the way to the ids before each shard.
 SUM_BLOCK = 1024
 #: Text bytes encoded at once, and texts of joined words that the tokenizer gets at once.

@@ -85,7 +85,7 @@ def test_shards_are_ordered_by_number(spark):
 
 
 def test_shard_counts():
-    assert ti.shard_count(0, 8) == 1 and ti.shard_count(800 << 20, 6) == 24 and ti.shard_count(30 << 20, 8) == 3
+    assert ti.shard_count(0, 8) == 1 and ti.shard_count(800 << 20, 6) == 48 and ti.shard_count(30 << 20, 8) == 3
     assert ti.shard_count(100 << 40, 1000) == (100 << 40) // ti.SHARD_BYTES
 
 
