@@ -306,3 +306,66 @@ def is_valid(shape: list) -> bool:
             if not contains([[polygon[0]]], hole[:-1, 0], hole[:-1, 1], boundary=True).all():
                 return False
     return bool(shape)
+
+
+def _crossed(ring: np.ndarray) -> list[tuple]:
+    """An open ring with the points in it at which its own edges cross."""
+    a, b = ring, np.roll(ring, -1, axis=0)
+    d = b - a
+    n = len(ring)
+    extra: list[list[tuple[float, tuple]]] = [[] for _ in range(n)]
+    for i in range(n - 2):
+        j = np.arange(i + 2, n - (i == 0))
+        if not len(j):
+            continue
+        cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+        w = a[j] - a[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (w[:, 0] * d[j, 1] - w[:, 1] * d[j, 0]) / cross
+            u = (w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) / cross
+        for k in np.nonzero((cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))[0].tolist():
+            point = tuple((a[i] + t[k] * d[i]).tolist())
+            extra[i].append((float(t[k]), point))
+            extra[int(j[k])].append((float(u[k]), point))
+    out = []
+    for i in range(n):
+        out += [tuple(a[i].tolist()), *[p for _, p in sorted(extra[i])]]
+    return out
+
+
+def _loops(ring: np.ndarray) -> list[np.ndarray]:
+    """A ring cut where it meets or crosses itself, as closed rings that do neither and have an area."""
+    ring = ring[np.isfinite(ring).all(axis=1)]
+    if len(ring) > 1 and (ring[0] == ring[-1]).all():
+        ring = ring[:-1]
+    if len(ring):
+        ring = ring[(ring != np.roll(ring, 1, axis=0)).any(axis=1)]
+    if len(ring) < 3:
+        return []
+    path, at, loops = [], {}, []
+    for p in [*(points := _crossed(ring)), points[0]]:
+        if p in at:
+            loops.append(np.array([*path[at[p] :], p]))
+            for q in path[at[p] + 1 :]:
+                at.pop(q, None)
+            del path[at[p] + 1 :]
+        else:
+            at[p] = len(path)
+            path.append(p)
+    return [x for x in loops if len(x) > 3 and abs(signed_area(x)) > 0]
+
+
+def repair(shape: list) -> tuple[list, bool]:
+    """A valid multipolygon of the same rings, and whether it had to be changed: rings are closed, cut where they
+    cross themselves, turned the right way, and dropped if they have no area; holes go to the smallest shell around."""
+    if is_valid(shape) and all(len(_loops(ring)) == 1 and (signed_area(ring) > 0) == (k == 0) for polygon in shape for k, ring in enumerate(polygon)):
+        return shape, False
+    shells = [x if signed_area(x) > 0 else x[::-1] for polygon in shape for x in (_loops(polygon[0]) if polygon else [])]
+    holes = [x if signed_area(x) < 0 else x[::-1] for polygon in shape for ring in polygon[1:] for x in _loops(ring)]
+    shells.sort(key=lambda x: -signed_area(x))
+    out = [[x] for x in shells]
+    for hole in holes:
+        around = [k for k, x in enumerate(shells) if contains([[x]], hole[:-1, 0], hole[:-1, 1], boundary=True).all()]
+        if around:
+            out[max(around)].append(hole)
+    return out, True

@@ -376,6 +376,27 @@ def covers(estimated: DataFrame, lat: str, lon: str) -> DataFrame:
     return estimated.withColumn("inside", inside("geometry", lat, lon))
 
 
+def with_valid_geometry(estimated: DataFrame) -> DataFrame:
+    """``estimated`` with each geometry valid: ``repaired`` tells which had to be changed, and ``part_count`` and
+    ``area_km2`` follow a changed one. A geometry without any area left becomes null, with no parts."""
+    ship(estimated.sparkSession)
+
+    @F.pandas_udf("geometry binary, repaired boolean, part_count int, area_km2 double")
+    def valid(shape: pd.Series) -> pd.DataFrame:
+        known: dict = {}
+        for w in shape:
+            if w is not None and w not in known:
+                fixed, changed = g.repair(g.from_wkb(w))
+                known[w] = (g.to_wkb(fixed) if fixed else None, True, len(fixed), g.sphere_area_km2(fixed)) if changed else (w, False, len(fixed), None)
+        return pd.DataFrame([known[w] if w is not None else (None, False, 0, None) for w in shape], columns=["geometry", "repaired", "part_count", "area_km2"])
+
+    out = estimated.withColumn("_valid", valid("geometry"))
+    changed = F.col("_valid.repaired")
+    for name in ("part_count", "area_km2"):
+        out = out.withColumn(name, F.when(changed, F.col(f"_valid.{name}")).otherwise(F.col(name)))
+    return out.withColumn("geometry", F.col("_valid.geometry")).withColumn("repaired", changed).drop("_valid")
+
+
 def geometry_stats(estimated: DataFrame) -> DataFrame:
     """Per method: rows, repaired, 95th percentile and maximum of parts, mean corners and bytes."""
     ship(estimated.sparkSession)

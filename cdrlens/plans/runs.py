@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +73,19 @@ def batch_phase(store: Store, run_id: str, plane: Plane, rules: Rules = Rules())
 def analysis(store: Store, run_id: str, settings: Settings, records: DataFrame | None = None) -> None:
     """Estimate the (sampled) records of a run and note how many events were analysed."""
     chosen = store.read("records").filter(F.col("run_id") == run_id) if records is None else records
-    store.append("estimates", estimation.estimates(chosen, store.inventory(run_id), settings))
-    store.update_run(run_id, analyzed_events=store.count("estimates", run_id) // 5)
+    inventory = store.inventory(run_id)
+    store.append("estimates", estimation.with_valid_geometry(estimation.estimates(chosen, inventory, settings)))
+    # from the records, so that the check of five estimates an event can fail
+    store.update_run(run_id, analyzed_events=chosen.count() - estimation.unexplained(chosen, inventory, settings).count())
+
+
+def replay(store: Store, run_id: str, settings: Settings, lambda_: float | None = None, records: DataFrame | None = None) -> DataFrame:
+    """A run's estimates made again from its stored records, with another spread factor if given: the factor stored
+    with the run counts if none is. Nothing is written."""
+    stored = store.status(run_id)["lambda"]
+    factor = lambda_ if lambda_ is not None else stored if stored is not None else settings.lambda_
+    chosen = store.read("records").filter(F.col("run_id") == run_id) if records is None else records
+    return estimation.estimates(chosen, store.inventory(run_id), replace(settings, lambda_=factor))
 
 
 @dataclass(frozen=True)

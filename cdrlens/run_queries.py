@@ -474,3 +474,30 @@ def _(a):
     from .queries import SETTINGS
 
     return estimation.unexplained(a.records, cells, SETTINGS).select("run_id", "event_id", "reason")
+
+
+@query("repaired_geometries", "SELECT event_id % 4 AS kind, count(*) AS n, bool_and(event_id % 4 IN (1, 2, 3)) AS repaired, (CASE event_id % 4 WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 1 END)::INT AS parts FROM events GROUP BY event_id % 4")
+def _(a):
+    """Squares, bow ties, squares turned the wrong way and lines, made valid."""
+    import numpy as np
+
+    from .functions import geometry as g
+
+    rings = [[(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], [(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)], [(0, 0), (0, 1), (1, 1), (1, 0), (0, 0)], [(0, 0), (1, 1), (0, 0), (0, 0)]]
+    shapes = a.spark.createDataFrame([(k, g.to_wkb([[np.array(r, float)]])) for k, r in enumerate(rings)], "kind long, geometry binary")
+    rows = a.events.select((F.col("event_id") % 4).alias("kind")).join(shapes, "kind").withColumn("part_count", F.lit(1)).withColumn("area_km2", F.lit(1.0)).withColumn("repaired", F.lit(False))
+    made = estimation.with_valid_geometry(rows)
+    return made.groupBy("kind").agg(F.count("*").alias("n"), F.bool_and("repaired").alias("repaired"), F.max("part_count").alias("parts"))
+
+
+@query("replayed_run", f"SELECT run_id, count(*) * 5 AS estimates, count(*) AS events, 1.5::DOUBLE AS lambda FROM records r WHERE run_id = '{RUN}' AND EXISTS (SELECT 1 FROM cells c WHERE c.run_id = r.run_id AND c.cell_id = r.cell_id) GROUP BY 1", _T)
+def _(a):
+    """A stored run estimated again with the spread factor that was stored with it."""
+    from .queries import SETTINGS
+
+    store = _store(a)
+    store.insert_run(a.runs.filter(F.col("run_id") == RUN), _texts(a.cells.filter(F.col("run_id") == RUN)))
+    store.append("records", _texts(a.records.filter(F.col("run_id") == RUN)))
+    store.update_run(RUN, **{"lambda": 1.5})
+    made = runs.replay(store, RUN, SETTINGS)
+    return made.groupBy("run_id").agg(F.count("*").alias("estimates"), F.count_distinct("event_id").alias("events")).withColumn("lambda", F.lit(store.status(RUN)["lambda"]))
