@@ -63,7 +63,7 @@ def pages_of_a_template(n, seed=4):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.85])
+@pytest.mark.parametrize("threshold", [0.85])
 def test_pages_of_a_template(spark, threshold, monkeypatch):
     """Members of costly buckets meet by rare shingles: the same components, and few pairs."""
     rows = list(enumerate(pages_of_a_template(72) + variants(30)))
@@ -82,8 +82,7 @@ def test_pages_of_a_template(spark, threshold, monkeypatch):
     assert [b for b, _ in made] == [True, False]
 
 
-@pytest.mark.parametrize("hot", [minhash.HOT_PAIRS, 5])
-@pytest.mark.parametrize("threshold", [0.8, 0.85])
+@pytest.mark.parametrize(("threshold", "hot"), [(0.8, 5), (0.85, minhash.HOT_PAIRS)])
 def test_components_like_brute_force(spark, threshold, hot, monkeypatch):
     monkeypatch.setattr(minhash, "HOT_PAIRS", hot)
     rng = random.Random(1)
