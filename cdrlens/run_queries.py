@@ -257,8 +257,15 @@ def _(a):
     return a.spark.createDataFrame(rows, "run_id string, name string, passed boolean")
 
 
+#: Stores that hold all of a folder's tables, by application and folder: only their metrics are ever written again.
+_FULL: dict[tuple[str, str], Store] = {}
+
+
 def _full(a: Adapted) -> Store:
-    store = _store(a)
+    key = (a.spark.sparkContext.applicationId, a.dir)
+    if key in _FULL:
+        return _FULL[key]
+    store = _FULL[key] = _store(a)
     store.insert_run(a.runs, _texts(a.cells))
     store.append("records", _texts(a.records))
     store.append("truth", _texts(a.truth))
