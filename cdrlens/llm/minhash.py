@@ -240,7 +240,8 @@ def _rest_pairs(labelled: DataFrame, nodes: DataFrame, open_: DataFrame, thresho
     # a hot band's members meet its row in SALTS tasks
     salted = labelled.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
     open_ = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = salted.join(open_, ["band", "salt"]).join(nodes.select("class", "bands", "sketch"), "class")
+    # exchanges, never a broadcast: a table's size on disk says nothing of its rows times SALTS
+    held = salted.join(open_.hint("merge"), ["band", "salt"]).join(nodes.select("class", "bands", "sketch"), "class")
     in_main, dice = F.col("component") == F.col("main"), F.xxhash64("class", "band")
     own = F.when(in_main, F.col("small") + F.pmod(dice, F.col("large"))).otherwise(F.pmod(dice, F.col("small"))).cast("int")
     others = F.sequence(F.lit(0), F.when(in_main, F.col("small")).otherwise(F.col("small") + F.col("large")) - 1)
