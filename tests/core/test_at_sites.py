@@ -46,6 +46,12 @@ def test_sectors_without_a_place_at_a_centre(spark, tmp_path):
     assert sum(reason == "the sector holds no hexagon of the lattice" for _, _, reason in rows) > 5
 
 
+def test_places_on_the_edge_of_two_hexagons(spark, tmp_path):
+    """Places due north of a site whose axis is an edge of the lattice, where the region's last hexagon is one of two."""
+    rows = like_sql(spark, tmp_path, "places_in_regions", 1000, [(13 * k, 849 - 13 * k % 3) for k in range(456)])
+    assert {m for _, m, *_ in rows} == {"B0", "B1", "M"}
+
+
 def test_masses_apart_by_rounding_are_ties():
     """Two equal masses stay ties wherever a step of the fifteenth digit falls between them."""
     r, q = np.array([3, 2, 2, 1]), np.array([0, 5, 4, 9])
